@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import audio, bpe, common
+from . import audio, bpe, common, pii, quality
 
 #: The tokenizer is a parameter of the operator; this is the one that the contract names.
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_quality(spark, sf_dir):
+    return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.digests(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -18,5 +22,9 @@ def op6_mpeg_audio(spark, sf_dir):
     return audio.media(common.documents(spark, sf_dir), keep_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_mpeg_audio)}
+def op9_pii(spark, sf_dir):
+    return pii.scan(common.documents(spark, sf_dir), keep_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op6_mpeg_audio, op9_pii)}
 ORACLES: dict[str, str] = {}
