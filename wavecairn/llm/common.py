@@ -56,6 +56,11 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def text_key(text: str | None) -> str:
+    """The digest by which equal texts are known; Spark's sha2 of the text gives the same."""
+    return "null" if text is None else sha(text.encode())[:32]
+
+
 # ---- UTF-8 columns as one byte array -------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import audio, bpe, common, pii, quality
+from . import audio, bpe, common, nearup, pii, quality
 
 #: The tokenizer is a parameter of the operator; this is the one that the contract names.
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,9 +22,13 @@ def op6_mpeg_audio(spark, sf_dir):
     return audio.media(common.documents(spark, sf_dir), keep_media=False)
 
 
+def op8_minhash(spark, sf_dir):
+    return nearup.dedup(common.documents(spark, sf_dir))
+
+
 def op9_pii(spark, sf_dir):
     return pii.scan(common.documents(spark, sf_dir), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op6_mpeg_audio, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op6_mpeg_audio, op8_minhash, op9_pii)}
 ORACLES: dict[str, str] = {}
