@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import audio, bpe, common, nearup, pii, quality
+from . import audio, bpe, common, nearup, pii, quality, suffixes
 
 #: The tokenizer is a parameter of the operator; this is the one that the contract names.
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,5 +30,9 @@ def op9_pii(spark, sf_dir):
     return pii.scan(common.documents(spark, sf_dir), keep_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op6_mpeg_audio, op8_minhash, op9_pii)}
+def op10_suffixes(spark, sf_dir):
+    return suffixes.dedup(common.documents(spark, sf_dir)).drop("removed")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op6_mpeg_audio, op8_minhash, op9_pii, op10_suffixes)}
 ORACLES: dict[str, str] = {}
