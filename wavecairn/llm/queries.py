@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import audio, bpe, common, nearup, pii, quality, suffixes
+from . import audio, bpe, common, decontaminate, licenses, lines, nearup, pii, quality, suffixes
 
 #: The tokenizer is a parameter of the operator; this is the one that the contract names.
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,10 +19,23 @@ def op2_bpe(spark, sf_dir):
     return bpe.digests(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(common.documents(spark, sf_dir))
+
+
+def op4_tiling(spark, sf_dir):
+    return decontaminate.scan(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_mpeg_audio(spark, sf_dir):
     return audio.media(common.documents(spark, sf_dir), keep_media=False)
 
 
+def op7_lines(spark, sf_dir):
+    out = lines.dedup(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_units", "n_removed", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_minhash(spark, sf_dir):
     return nearup.dedup(common.documents(spark, sf_dir))
 
@@ -34,5 +48,5 @@ def op10_suffixes(spark, sf_dir):
     return suffixes.dedup(common.documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op6_mpeg_audio, op8_minhash, op9_pii, op10_suffixes)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_licenses, op4_tiling, op6_mpeg_audio, op7_lines, op8_minhash, op9_pii, op10_suffixes)}
+ORACLES: dict[str, str] = {"op7_lines": lines.SQL}
