@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import audio, bpe, common, decontaminate, licenses, lines, nearup, pii, quality, suffixes
+from . import audio, bpe, common, decontaminate, katz, licenses, lines, nearup, pii, quality, suffixes
 
 #: The tokenizer is a parameter of the operator; this is the one that the contract names.
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op4_tiling(spark, sf_dir):
     return decontaminate.scan(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_katz(spark, sf_dir):
+    return katz.score(common.documents(spark, sf_dir))
+
+
 def op6_mpeg_audio(spark, sf_dir):
     return audio.media(common.documents(spark, sf_dir), keep_media=False)
 
@@ -48,5 +52,5 @@ def op10_suffixes(spark, sf_dir):
     return suffixes.dedup(common.documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_licenses, op4_tiling, op6_mpeg_audio, op7_lines, op8_minhash, op9_pii, op10_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_licenses, op4_tiling, op5_katz, op6_mpeg_audio, op7_lines, op8_minhash, op9_pii, op10_suffixes)}
 ORACLES: dict[str, str] = {"op7_lines": lines.SQL}
