@@ -174,9 +174,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, model).select("doc_id", (common.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the model rejects; all their columns stay as they are."""
-    model = train(docs, labels)
+def accepted(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """docs without the rows that the model rejects; all their columns stay as they are. labelled: rows to learn from, if not docs."""
+    model = train(docs if labelled is None else labelled, labels)
     names = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
