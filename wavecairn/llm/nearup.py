@@ -6,11 +6,13 @@ minima are its packed signature of 64 bytes. Two classes of one bucket are candi
 estimated from the equal nibbles, corrected for chance collisions, is not more than MARGIN (6 standard
 deviations) under the wanted one; candidates are then confirmed on the full sets, worked out from the texts.
 
-Buckets are not expanded into pairs. First each class is confirmed against the one bucket leader (least
-class) it shares most buckets with, and components are formed. Then only buckets that still hold several
-components are searched, in blocks of bounded size, and only pairs from different components come out. What stays unchecked lies in one component
-already, so no component is missed but by the bands: a pair at the limit misses all of them with
-probability under 1e-7.
+Buckets are not expanded into pairs. Buckets with equal members count once. Each class is first confirmed
+against the bucket leader it shares most buckets with (a leader is the member with the fullest buckets, so the
+original rather than one of its copies), and components are formed. Then only buckets that still hold several
+components are searched, in blocks of bounded size: a first pass over packed signatures keeps the classes with a
+candidate in another component, a second counts exact intersections of their full sets and returns only the links
+that join components, fewer than its classes. What stays unchecked lies in one component already, so no
+component is missed but by the bands: a pair at the limit misses all of them with probability under 1e-7.
 
 Rows are told apart by their sets, not ids: repeated rows and repeated ids are harmless. A null or empty
 text, or one of separators only, has an empty set and is linked with nothing. A null doc_id never names a
@@ -19,6 +21,7 @@ component unless all ids of it are null. Texts may be of any length; an empty ta
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from . import common
 MINIMA, ROWS, LOW_BITS, MARGIN = 128, 4, 4, 0.2
 BANDS = MINIMA // ROWS
 #: Members of a bucket that one task compares with each other at most.
-BLOCK = 1500
+BLOCK = 1000
 
 _rng = np.random.default_rng(31337)
 _A = _rng.integers(1, 2**63, MINIMA, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,7 +94,7 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     counts.append(len(s))
                     if len(s):
                         least = minima(s)
-                        names.append(common.sha(s.tobytes())[:32])
+                        names.append(hashlib.sha256(s.tobytes()).digest()[:16])
                         packed.append(pack(least))
                         keys.append(bands(least))
                     else:
@@ -102,15 +105,14 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     {
                         "doc_id": part.column("doc_id"),
                         "text_key": pa.array([common.text_key(t) for t in part.column("text").to_pylist()], pa.string()),
-                        "class": pa.array(names, pa.string()),
+                        "class": pa.array(names, pa.binary()),
                         "n_shingles": pa.array(counts, pa.int64()),
                         "packed": pa.array(packed, pa.binary()),
                         "bands": pa.array(keys, pa.list_(pa.int64())),
-                        "text": part.column("text"),
                     }
                 )
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, text_key string, class string, n_shingles long, packed binary, bands array<long>, text string")
+    return common.texts(docs).mapInArrow(run, "doc_id long, text_key string, class binary, n_shingles long, packed binary, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) ->
                     keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a string, b string")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -148,56 +150,122 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _bodies(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class and text of one document of each wanted class."""
+    one = signed.join(wanted, "class").groupBy("class").agg(F.min("text_key").alias("text_key"))
+    text = F.col("text")
+    keyed = docs.select(F.col("text").cast("string").alias("text")).where(text.isNotNull()).withColumn("text_key", F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))
+    return common.stored(keyed.join(one, "text_key").dropDuplicates(["text_key"]).select("class", "text"), "bodies")
+
+
+def _members(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, bool]:
+    group = group.sort_values("class", ignore_index=True)
+    return group, pd.factorize(group["component"])[0], group["own"].to_numpy(), bool(group["i"].iat[0] != group["j"].iat[0])
+
+
+def _near(group: pd.DataFrame, limit: float) -> pd.DataFrame:
+    """The classes of a block pair that have a candidate in another component."""
+    group, part, side, two = _members(group)
+    signs = np.frombuffer(b"".join(group["packed"]), np.uint8).reshape(len(group), -1)
+    keep = np.zeros(len(group), bool)
+    for k in range(len(group) - 1):
+        rest = part[k + 1 :] != part[k]
+        if two:
+            rest &= side[k + 1 :] != side[k]
+        near = k + 1 + np.flatnonzero(rest)
+        near = near[estimate(signs[k], signs[near]) >= limit]
+        keep[near] = True
+        keep[k] |= len(near) > 0
+    return group.loc[keep, ["bucket", "i", "j", "own", "class", "component"]]
+
+
+def _joined(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links on full sets that join components: all intersections of the classes outside the largest component with all others."""
+    group, part, side, two = _members(group)
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    distinct, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, column = owner[times[column] > 1], column[times[column] > 1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    outer = np.flatnonzero(part != np.bincount(part).argmax())
+    shared = np.zeros((len(outer), len(sets)), np.float32)
+    for lo in range(0, len(distinct), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        if a < b:
+            _, local = np.unique(column[a:b], return_inverse=True)
+            has = np.zeros((len(sets), local.max() + 1), np.float32)
+            has[owner[a:b], local] = 1
+            shared += has[outer] @ has.T
+    linked = 100 * shared.astype(np.int64) >= percent * (sizes[outer][:, None] + sizes[None, :] - shared.astype(np.int64))
+    linked &= part[outer][:, None] != part[None, :]
+    if two:
+        linked &= side[outer][:, None] != side[None, :]
+    root = list(range(part.max() + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b, names = [], [], group["class"].tolist()
+    for x, y in zip(*(v.tolist() for v in np.nonzero(linked)), strict=True):
+        p, q = find(int(part[outer[x]])), find(int(part[y]))
+        if p != q:
+            root[p] = q
+            a.append(names[outer[x]])
+            b.append(names[y])
+    return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+
+def _with_sets(bodies: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield pa.RecordBatch.from_pydict({"class": part.column("class"), "shingles": pa.array([s.tobytes() for s in _sets(part, "text", size)], pa.binary())})
+
+    return bodies.mapInArrow(run, "class binary, shingles binary")
+
+
 def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """One row for each document (doc_id, text_key, class, n_shingles), and class, component for linked classes."""
+    limit = percent / 100 - MARGIN
     signed = common.stored(_signed(docs, size), "signed")
     rows = signed.select("doc_id", "text_key", "class", "n_shingles")
     known = signed.where("class is not null").groupBy("class").agg(F.first("packed").alias("packed"), F.first("bands").alias("bands"))
-    placed = known.select("class", "packed", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("class").alias("leader")).where("members > 1")
-    held = common.stored(placed.join(shared, "bucket").select("bucket", "members", "leader", "class", "packed"), "buckets")
-
-    # the text of one document of each class that shares a bucket
-    bodies = common.stored(
-        signed.select("class", "text").join(held.select("class").distinct(), "class").groupBy("class").agg(F.first("text").alias("text")), "bodies"
-    )
-    led = held.where("class <> leader").groupBy("class", "leader").agg(F.count("*").alias("times"))
+    placed = known.select("class", F.explode("bands").alias("bucket"))
+    mark = F.xxhash64("class")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s")).where("members > 1")
+    shared = shared.groupBy("members", "x", "s").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
+    held = common.stored(placed.join(shared.select("bucket", "members", "times"), "bucket").select("bucket", "members", "times", "class"), "buckets")
+    central = held.groupBy("class").agg(F.sum(F.col("members") * F.col("times")).alias("weight"))
+    ranked = held.join(central, "class")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "class")).alias("top")).select("bucket", F.col("top.class").alias("leader"))
+    bodies = _bodies(docs, signed, central.select("class"))
+    packed = known.join(central.select("class"), "class").select("class", "packed")
+
+    led = held.join(leaders, "bucket").where("class <> leader").groupBy("class", "leader").agg(F.sum("times").alias("times"))
     best = led.groupBy("class").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-    signs = held.select(F.col("class").alias("leader"), F.col("packed").alias("sign")).distinct()
-    first = best.join(held.select("class", "packed").distinct(), "class").join(signs, "leader")
+    first = best.join(packed, "class").join(packed.select(F.col("class").alias("leader"), F.col("packed").alias("sign")), "leader")
     first = _estimated(first, percent).select(F.col("leader").alias("a"), F.col("class").alias("b"))
     links = common.stored(_confirmed(first, bodies, size, percent), "confirmed")
     found = components(links)
 
     # buckets that hold several components still
-    named = held.join(found, "class", "left").select("bucket", "members", "class", "packed", F.coalesce("component", "class").alias("component"))
+    named = held.join(found, "class", "left").select("bucket", "members", "class", F.coalesce("component", "class").alias("component"))
     open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    left = named.join(open_, "bucket")
+    left = named.join(open_, "bucket").join(packed, "class")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
     dealt = left.select("bucket", "class", "packed", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "packed", "component")
-    limit = percent / 100 - MARGIN
-
-    def across(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs between different components that the estimate lets through; for i < j only between the two blocks."""
-        group = group.sort_values("class")
-        name, part, side = group["class"].to_numpy(), pd.factorize(group["component"])[0], group["own"].to_numpy()
-        signs = np.frombuffer(b"".join(group["packed"]), np.uint8).reshape(len(group), -1)
-        two = group["i"].iat[0] != group["j"].iat[0]
-        a, b = [], []
-        for k in range(len(group) - 1):
-            rest = part[k + 1 :] != part[k]
-            if two:
-                rest &= side[k + 1 :] != side[k]
-            near = k + 1 + np.flatnonzero(rest)
-            near = near[estimate(signs[k], signs[near]) >= limit]
-            a += [name[k]] * len(near)
-            b += name[near].tolist()
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
-
-    more = dealt.groupBy("bucket", "i", "j").applyInPandas(across, "a string, b string").distinct()
-    more = common.stored(_confirmed(more.join(links, ["a", "b"], "left_anti"), bodies, size, percent), "confirmed")
+    near = dealt.groupBy("bucket", "i", "j").applyInPandas(lambda g: _near(g, limit), "bucket long, i int, j int, own int, class binary, component binary")
+    near = common.stored(near, "near")
+    full = near.join(_with_sets(bodies.join(near.select("class").distinct(), "class", "left_semi"), size), "class")
+    more = common.stored(full.groupBy("bucket", "i", "j").applyInPandas(lambda g: _joined(g, percent), "a binary, b binary").distinct(), "joined")
     if not more.isEmpty():
         found = components(links.union(more))
     return rows, found
