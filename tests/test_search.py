@@ -92,6 +92,23 @@ def test_neighbours(fixture, strategy, span, o):
         assert [r.k for r in rows] == list(range(1, len(want) + 1))
 
 
+def test_templates_of_a_channel_in_slices(spark, fixture, monkeypatch):
+    x, q, series, templates = fixture
+    monkeypatch.setattr(search, "TEMPLATE_BYTES", 8 * M * 2)
+    two = series.unionByName(series.withColumn("channel", search.F.lit("d")))
+    own = templates.withColumn("channel", search.F.when(search.F.col("tid") % 2 == 0, "c").otherwise("d"))
+    corr = oracle(x, q)
+    for strategy in ("scan", "sql", "index"):
+        got = search.threshold_search(two, own, M, 0.4, 16, 1, strategy).collect()
+        for k in range(len(q)):
+            for c in "cd":
+                want = merged(corr[k], 0.4, 16) if c == "cd"[k % 2] else []
+                assert sorted(r.pos for r in got if r.tid == k and r.channel == c) == want
+    near = search.knn_search(two, own, M, 3, 20, "scan", pad=True).collect()
+    for k in range(5):
+        assert [r.pos for r in sorted(near, key=lambda r: r.k) if r.tid == k] == nearest(corr[k], 3, 20)
+
+
 def test_padding_and_arguments(fixture):
     x, q, series, templates = fixture
     got = search.knn_search(series.where("pos < 100"), templates, M, 4, 30, "scan", pad=True).collect()

@@ -231,7 +231,7 @@ _add("sax_word", sax_word, f"with {_PAA} select tid, segment, cast(len(list_filt
 def lower_bound(spark, d):
     s, q = _both(spark, d)
     words = index.summaries(search.blocks(s, M), M, SEG)
-    (ids, z), = search.slices(q, M)
+    ((ids, z, _),) = search.slices(q, M)
 
     def run(batches):
         import numpy as np

@@ -79,7 +79,7 @@ def breakpoints(symbols: int = SYMBOLS) -> np.ndarray:
 
 
 def paa(z: np.ndarray, segments: int) -> np.ndarray:
-    return z.reshape(len(z), segments, -1).mean(2)
+    return z.reshape(len(z), segments, z.shape[1] // segments).mean(2)
 
 
 def sax(means: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def matches(samples: np.ndarray, z: np.ndarray, bound: np.ndarray, strategy: str
     """
     m = z.shape[1]
     view, start = windows(samples, m)
-    if not len(view):
+    if not len(view) or not len(z):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     least = ed_to_cc(np.asarray(bound, float), m)
     mu, sd = statistics(view)

@@ -59,7 +59,7 @@ def inventory_report(rows: DataFrame) -> DataFrame:
 
 def detrend_constant(series: DataFrame) -> DataFrame:
     mean = series.groupBy("channel").agg(F.avg("v").alias("__mean"))
-    return series.join(F.broadcast(mean), "channel").select("channel", "pos", (F.col("v") - F.col("__mean")).alias("v"))
+    return series.join(mean, "channel").select("channel", "pos", (F.col("v") - F.col("__mean")).alias("v"))
 
 
 def detrend_linear(series: DataFrame) -> DataFrame:

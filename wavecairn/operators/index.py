@@ -117,12 +117,11 @@ def leaf_bounds(nodes: DataFrame, z: np.ndarray, m: int, segments: int, bound: f
     return nodes.mapInArrow(run, nodes.schema)
 
 
-def candidate_blocks(held: DataFrame, series: DataFrame, ids: np.ndarray, z: np.ndarray, bound: float, segments: int, span: int) -> DataFrame:
+def candidate_blocks(held: DataFrame, z: np.ndarray, bound: float, segments: int, span: int) -> DataFrame:
     """Blocks with a window whose word is in a leaf that survives the bound; the others are never compared."""
     m = z.shape[1]
     words = rooted(summaries(held, m, segments, span), segments)
-    prefix = F.hex("word")
     live = leaf_bounds(leaves(summaries(held, m, segments, span), segments), z, m, segments, bound)
     inside = F.expr("forall(sequence(1, length(bits)), i -> shiftright(cast(conv(hex(substring(word, i, 1)), 16, 10) as int), 8 - cast(conv(hex(substring(bits, i, 1)), 16, 10) as int)) = cast(conv(hex(substring(prefix, i, 1)), 16, 10) as int))")
-    wanted = words.withColumn("__hex", prefix).join(live.select("root", "prefix", "bits"), "root").where(inside).select("channel", "block").distinct()
+    wanted = words.join(live.select("root", "prefix", "bits"), "root").where(inside).select("channel", "block").distinct()
     return held.join(wanted, ["channel", "block"], "left_semi")

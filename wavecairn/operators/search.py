@@ -1,7 +1,7 @@
 """Exact subsequence similarity search as DataFrame plans.
 
-``knn_search`` and ``threshold_search`` take series(channel, pos, v) and templates(tid, v) and return ordinary
-DataFrames. Samples are grouped into blocks that overlap by a window less one, so every window lies in one block and
+``knn_search`` and ``threshold_search`` take series(channel, pos, v) and templates(tid, v), or templates(channel,
+tid, v) that are looked for in their own channel only, and return ordinary DataFrames. Samples are grouped into blocks that overlap by a window less one, so every window lies in one block and
 matching needs no further exchange; templates reach the kernels in slices of bounded size. Ordered folds
 run in the JVM over islands of hits that cannot influence each other.
 """
@@ -9,6 +9,7 @@ run in the JVM over islands of hits that cannot influence each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,29 +46,46 @@ def blocks(series: DataFrame, m: int, span: int = SPAN) -> DataFrame:
     )
 
 
-def slices(templates: DataFrame, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Template ids and z-normalised rows, so many bytes at a time; each slice is a pass over the blocks."""
+class Slice(NamedTuple):
+    """Some templates: ids, z-normalised rows, and the channel of each, or None if they apply to all."""
+
+    ids: np.ndarray
+    z: np.ndarray
+    channels: list[str] | None
+
+
+def slices(templates: DataFrame, m: int) -> Iterator[Slice]:
+    """Templates so many bytes at a time; each slice is a pass over the blocks of its channels."""
     most = max(1, TEMPLATE_BYTES // (8 * m))
-    good = templates.where(F.size("v") == m).select(F.col("tid").cast("int").alias("tid"), F.col("v").cast("array<double>").alias("v"))
+    own = ["channel"] if "channel" in templates.columns else []
+    good = templates.where(F.size("v") == m).select(*own, F.col("tid").cast("int").alias("tid"), F.col("v").cast("array<double>").alias("v"))
     size = good.count()
-    parts = -(-size // most)
+    parts = 1 if size <= most else 2 * -(-size // most)
     for k in range(parts):
-        own = good if parts == 1 else good.where(F.pmod(F.xxhash64("tid"), F.lit(2 * parts)).between(2 * k, 2 * k + 1))
-        got = sorted((r.tid, r.v) for r in own.collect())
+        part = good if parts == 1 else good.where(F.pmod(F.xxhash64(*own, "tid"), F.lit(parts)) == k)
+        got = sorted(tuple(r) for r in part.collect())
         if got:
-            yield np.array([i for i, _ in got], np.int32), np.array([kernels.znorm(np.array(v)) for _, v in got])
+            yield Slice(np.array([r[-2] for r in got], np.int32), np.array([kernels.znorm(np.array(r[-1])) for r in got]), [r[0] for r in got] if own else None)
 
 
-def _matched(held: DataFrame, ids: np.ndarray, z: np.ndarray, bound: dict | float, strategy: str, segments: int, span: int, top: tuple[int, int] | None = None) -> DataFrame:
-    """Pairs within the bound. bound: for all, or by (channel, tid). top: only the best k of each block and template that are o apart."""
-    m = z.shape[1]
+def _matched(held: DataFrame, part: Slice, bound: float, strategy: str, segments: int, span: int, top: tuple[int, int] | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """Pairs within the bound, or within limits(channel, tid, ed) where there is one. top: only the best k of each block and template that are o apart."""
+    m = part.z.shape[1]
+    if part.channels is not None:
+        held = held.where(F.col("channel").isin(sorted(set(part.channels))))
+    if limits is None:
+        blocks_ = held.select("channel", "start", "v", F.lit(None).cast("array<struct<tid:int,ed:double>>").alias("limits"))
+    else:
+        by_channel = limits.groupBy("channel").agg(F.collect_list(F.struct(F.col("tid").cast("int").alias("tid"), "ed")).alias("limits"))  # a slice's templates at most
+        blocks_ = held.join(by_channel, "channel", "left").select("channel", "start", "v", "limits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for channel, start, v in zip(*(batch.column(c) for c in ("channel", "start", "v")), strict=True):
+            for channel, start, v, own in zip(*(batch.column(c) for c in ("channel", "start", "v", "limits")), strict=True):
                 c, s, x = channel.as_py(), start.as_py(), v.values.to_numpy(zero_copy_only=False)[: span + m - 1]
-                limits = np.array([bound.get((c, int(t)), 4.0 * m) for t in ids]) if isinstance(bound, dict) else np.full(len(ids), bound)
-                i, j, corr = kernels.matches(x, z, limits, strategy, segments)
+                use = np.arange(len(part.ids)) if part.channels is None else np.flatnonzero([o == c for o in part.channels])
+                ids, known = part.ids[use], {r["tid"]: r["ed"] for r in own.as_py() or ()}
+                i, j, corr = kernels.matches(x, part.z[use], np.array([known.get(int(t), bound) for t in ids]), strategy, segments)
                 if top and len(i):
                     k, o = top
                     keep = []
@@ -83,7 +101,7 @@ def _matched(held: DataFrame, ids: np.ndarray, z: np.ndarray, bound: dict | floa
                 if len(i):
                     yield pa.RecordBatch.from_pydict({"channel": pa.array([c] * len(i), pa.string()), "tid": ids[j], "pos": pa.array(i + s, pa.int64()), "corr": corr})
 
-    return held.select("channel", "start", "v").mapInArrow(run, "channel string, tid int, pos long, corr double")
+    return blocks_.mapInArrow(run, "channel string, tid int, pos long, corr double")
 
 
 def _united(parts: list[DataFrame], spark) -> DataFrame:
@@ -102,10 +120,13 @@ def by_sql(series: DataFrame, templates: DataFrame, m: int) -> DataFrame:
     s = series.select("channel", "pos", "v", value.alias("x"))
     stats = s.select("channel", "pos", "v", F.avg("x").over(frame).alias("mu"), F.stddev_pop("x").over(frame).alias("sd"), F.count("*").over(frame).alias("c"))
     stats = stats.where((F.col("c") == m) & (F.col("sd") > kernels.TINY) & (F.col("v") != kernels.SENTINEL))
-    long = templates.where(F.size("v") == m).select("tid", F.posexplode(F.col("v").cast("array<double>")).alias("j", "q"))
-    each = W.partitionBy("tid")
-    z = long.select("tid", "j", ((F.col("q") - F.avg("q").over(each)) / F.stddev_pop("q").over(each)).alias("z"), F.stddev_pop("q").over(each).alias("qs")).where(F.col("qs") > kernels.TINY)
-    dots = s.join(F.broadcast(z.select("tid", "j", "z"))).groupBy("channel", "tid", (F.col("pos") - F.col("j")).alias("pos")).agg(F.sum(F.col("z") * F.col("x")).alias("dot"), F.sum("z").alias("sz"))
+    own = ["channel"] if "channel" in templates.columns else []
+    long = templates.where(F.size("v") == m).select(*own, "tid", F.posexplode(F.col("v").cast("array<double>")).alias("j", "q"))
+    each = W.partitionBy(*own, "tid")
+    z = long.select(*own, "tid", "j", ((F.col("q") - F.avg("q").over(each)) / F.stddev_pop("q").over(each)).alias("z"), F.stddev_pop("q").over(each).alias("qs")).where(F.col("qs") > kernels.TINY)
+    z = z.select(*own, "tid", "j", "z")
+    paired = s.join(z, own) if own else s.crossJoin(z)
+    dots = paired.groupBy("channel", "tid", (F.col("pos") - F.col("j")).alias("pos")).agg(F.sum(F.col("z") * F.col("x")).alias("dot"), F.sum("z").alias("sz"))
     corr = (F.col("dot") - F.col("mu") * F.col("sz")) / (F.lit(float(m)) * F.col("sd"))
     return dots.join(stats, ["channel", "pos"]).select("channel", F.col("tid").cast("int").alias("tid"), "pos", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), corr)).alias("corr"))
 
@@ -144,14 +165,14 @@ def threshold_search(series: DataFrame, templates: DataFrame, m: int, t: float,
         if strategy == "index":
             from .index import candidate_blocks
 
-            parts = [_matched(candidate_blocks(held, series, ids, z, bound, segments, span), ids, z, bound, "sax", segments, span) for ids, z in slices(templates, m)]
+            parts = [_matched(candidate_blocks(held, p.z, bound, segments, span), p, bound, "sax", segments, span) for p in slices(templates, m)]
         else:
-            parts = [_matched(held, ids, z, bound, strategy, segments, span) for ids, z in slices(templates, m)]
+            parts = [_matched(held, p, bound, strategy, segments, span) for p in slices(templates, m)]
         hits = _united(parts, series.sparkSession)
     if groups > 1:
         length = series.groupBy("channel").agg((F.max("pos") + 1).alias("__n"))
         width = F.greatest(F.lit(1), F.floor(F.col("__n") / groups))
-        hits = hits.join(F.broadcast(length), "channel").withColumn("part", F.least(F.lit(groups - 1), F.floor(F.col("pos") / width)).cast("int")).drop("__n")
+        hits = hits.join(length, "channel").withColumn("part", F.least(F.lit(groups - 1), F.floor(F.col("pos") / width)).cast("int")).drop("__n")
     else:
         hits = hits.withColumn("part", F.lit(0))
     return merged(hits, o, ["part"]).select("channel", "tid", "part", "counter", "pos", "corr")
@@ -196,21 +217,22 @@ def knn_search(series: DataFrame, templates: DataFrame, m: int, k: int, o: int =
     else:
         held = blocks(series, m, span)
         parts = []
-        for ids, z in slices(templates, m):
+        for part in slices(templates, m):
             wanted = 2 * k - 1 if o else k
-            seeds = _matched(held, ids, z, 4.0 * m, "scan" if strategy in ("sax", "index") else strategy, segments, span, top=(wanted, o))
+            seeds = _matched(held, part, 4.0 * m, "scan" if strategy in ("sax", "index") else strategy, segments, span, top=(wanted, o))
             seeds = _best(seeds, candidate_limit(wanted, o))
             apart = excluded(seeds, wanted, o) if o else seeds
             if not o:  # the best k of each block hold the answer
                 parts.append(seeds.select("channel", "tid", "pos", "corr"))
                 continue
-            rows = apart.groupBy("channel", "tid").agg(F.count("*").alias("n"), F.min("corr").alias("corr")).where(F.col("n") == wanted).collect()
-            bound = {(r.channel, r.tid): kernels.cc_to_ed(r["corr"], m) + 1e-9 for r in rows}
-            parts.append(_matched(held, ids, z, bound, "sax" if strategy == "index" else strategy, segments, span))
+            enough = apart.groupBy("channel", "tid").agg(F.count("*").alias("n"), F.min("corr").alias("corr")).where(F.col("n") == wanted)
+            limits = enough.select("channel", "tid", (2.0 * m * (1 - F.col("corr")) + 1e-9).alias("ed"))
+            parts.append(_matched(held, part, 4.0 * m, "sax" if strategy == "index" else strategy, segments, span, limits=limits))
         hits = _united(parts, series.sparkSession)
     best = _best(hits, candidate_limit(k, o))
     out = (excluded(best, k, o) if o else best).select("channel", "tid", "k", "pos", "corr")
     if pad:
-        slots = series.select("channel").distinct().crossJoin(templates.select(F.col("tid").cast("int").alias("tid"))).select("channel", "tid", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("k"))
+        names, tids = series.select("channel").distinct(), templates.drop("v").withColumn("tid", F.col("tid").cast("int"))
+        slots = (names.join(tids, "channel") if "channel" in tids.columns else names.crossJoin(tids)).select("channel", "tid", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("k"))
         out = slots.join(out, ["channel", "tid", "k"], "left").select("channel", "tid", "k", "pos", "corr")
     return out

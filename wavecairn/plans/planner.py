@@ -34,7 +34,7 @@ def decide(series: DataFrame, templates: DataFrame, m: int, bound: float | None,
             if len(view) and first is not None:
                 mu, sd = kernels.statistics(view)
                 words = kernels.words(view, mu, sd, segments)[start & (sd > kernels.TINY)]
-                for q in kernels.paa(first[1], segments):
+                for q in kernels.paa(first.z, segments):
                     passed += int((kernels.lower_bound(q, words, m) <= bound).sum())
                     total += len(words)
         fraction = passed / total if total else 1.0
