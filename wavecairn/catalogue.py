@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from .functions import expressions as X
 from .functions import kernels
-from .operators import etl, evaluate, index, search
+from .operators import etl, evaluate, index, search, vectors
 from .plans import planner
 from .sources import series as S
 
@@ -284,11 +284,9 @@ _add("planner_decision", planner_decision)
 
 
 def embedding_knn_l2(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))  # the stated query set against all rows
-    pairs = e.join(F.broadcast(q), F.col("query") != F.col("vec_id")).select("query", "vec_id", X.squared_l2(F.col("embedding"), F.col("q")).alias("ed"))
-    order = W.partitionBy("query").orderBy("ed", "vec_id")
-    return pairs.withColumn("k", F.row_number().over(order).cast("long")).where("k <= 5").select("query", "k", "vec_id", F.round("ed", 4).alias("ed"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    out = vectors.knn_l2(e, e.where("id % 50 = 0"), 5, 64)  # the stated query set against all rows
+    return out.select("query", "k", F.col("id").alias("vec_id"), F.round("ed", 4).alias("ed"))
 
 
 _add(
