@@ -92,6 +92,19 @@ def test_held_out_texts_gain_on_the_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_split_contexts(spark, sf_dir, monkeypatch):
+    """Frequent contexts, a hot pair among them, spread over parts and stay exactly normalised."""
+    rows = [(r.doc_id, r.text) for r in common.documents(spark, sf_dir).collect()][:60]
+    rows += [(10_000 + k, "hot pair " * 400 + " ".join(f"hot w{k % 9}{j}" for j in range(30))) for k in range(12)]
+    for name, value in (("BATCH", 20_000), ("TOKENS", 1_500)):
+        monkeypatch.setattr(katz, name, value)
+    agrees(katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), rows)
+    left, right = np.full(1000, 7, np.uint64), np.arange(1000, dtype=np.uint64)
+    part, shares = katz.spread(left, right, np.full(1000, 10 * katz.TOKENS), 40, katz.TOKENS)
+    assert set(shares.tolist()) == {11} and np.bincount(part).max() < 400
+    assert len(set(katz.spread(left, right, np.full(1000, 5), 40, katz.TOKENS)[0].tolist())) == 1
+
+
 def test_odd_rows(spark):
     rows = [(k, "a b c a b d " * (k % 5 + 1) + f"x{k} é") for k in range(40)] + [(1, None), (2, ""), (None, "A B"), (3, "z " * 30_000), (3, "z"), (3, "z")]
     docs = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id long, text string, batch int, part string")

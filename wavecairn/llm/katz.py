@@ -15,11 +15,13 @@ A level or context in which nothing would be freed gives 1 / (count + 1) to the
 Data flow. Documents are read once into batches of bounded size: distinct word hashes, counts, and the token
 stream as ranks. (1) Hashes go to vocabulary parts by range, which count and number the words and answer each
 batch. (2) Batches send their tokens, as numbers with unigram counts, to context parts by the hash of the
-left token. (3) Parts count pairs and write the model table; count-of-counts are summed over all parts.
-(4) Tokens meet the model table of their part, and sums by document go back. All exchanges carry compressed arrays, one
+left token. A context that was learned more than TOKENS times is split: the hash of the right token spreads its
+pairs over as many parts as it fills. (3) Parts count pairs and write the model table; count-of-counts are summed
+over all parts, and the discounts and seen probabilities of split contexts over their parts. (4) Tokens meet the
+model table of their part, and sums by document go back. All exchanges carry compressed arrays, one
 row for each batch and part; intermediate tables are removed when they are no longer read. Nothing of the
-model is broadcast but totals. A frequent context is one part's work, but a batch's tokens of it are
-compact, and the distinct tokens after it are bounded by the vocabulary.
+model is broadcast but totals. So no part grows with a frequent word; a single frequent pair stays in one part,
+where each batch brings it as one count to learn and a run of equal values to score.
 
 Null texts are empty: their one token is the end. Rows are scored one by one, so repeated rows count as
 often as they stand there; a null doc_id has the empty text's remainder. An empty table, or one without
@@ -193,12 +195,22 @@ def _numbered(bits: int):
 _ANSWER_NAMES = ["kind", "part", "batch", "numbers", "counts", "totals"]
 _ANSWER_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 _ANSWER = "kind string, part long, batch long, numbers binary, counts binary, totals array<long>"
-_SENT_NAMES = ["part", "batch", "ids", "info", "sizes", "left", "left_table", "right", "right_table", "right_counts", "train"]
-_SENT = "part long, batch long, ids array<long>, info binary, sizes binary, left binary, left_table binary, right binary, right_table binary, right_counts binary, train binary"
-_SENT_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
+_SENT_NAMES = ["part", "batch", "ids", "info", "sizes", "left", "left_table", "right", "right_table", "right_counts", "train", "split"]
+_SENT = "part long, batch long, ids array<long>, info binary, sizes binary, left binary, left_table binary, right binary, right_table binary, right_counts binary, train binary, split array<long>"
+_SENT_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8, pa.list_(pa.int64())]
 
 
-def _sent(parts: int, n_train: int):
+def spread(left: np.ndarray, right: np.ndarray, learned: np.ndarray, parts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each pair, and into how many shares its context is split: one for each `most` times it was learned.
+
+    An unknown context needs no counts of its own, so its tokens go to any part.
+    """
+    shares = np.where(left == UNKNOWN, parts, np.minimum(1 + learned // most, parts)).astype(np.uint64)
+    share = common.mix(right) % shares
+    return (common.mix(left | share << np.uint64(32)) % np.uint64(parts)).astype(np.int64), shares
+
+
+def _sent(parts: int, n_train: int, most: int):
     """A batch's tokens, cut by the part of their left neighbour, and its documents' plain sums."""
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -214,7 +226,7 @@ def _sent(parts: int, n_train: int):
         plain = np.bincount(doc, np.log10(c + 1.0), n) + np.log10(n_train + 1.0)
         known = np.bincount(doc, c > 0, n) + (n_train > 0)
         info = np.stack([sizes + 1.0, known, plain]).tobytes()
-        rows = [(-1, row["batch"], row["ids"], info, *[None] * 7)]
+        rows = [(-1, row["batch"], row["ids"], info, *[None] * 8)]
         end = np.cumsum(sizes + 1)
         last = np.zeros(len(stream) + n, bool)
         last[end - 1] = True
@@ -225,8 +237,11 @@ def _sent(parts: int, n_train: int):
         left = np.empty(len(last), np.uint64)
         left[1:] = right[:-1]
         left[end - sizes - 1] = BEGIN
+        learned = np.full(len(last), n_train, np.int64)
+        learned[1:] = weight[:-1]
+        learned[end - sizes - 1] = n_train
         owner = np.repeat(np.arange(n), sizes + 1)
-        part = (common.mix(left) % np.uint64(parts)).astype(np.int64)
+        part, shares = spread(left, right, learned, parts, most)
         order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         for q in range(parts):
@@ -235,7 +250,8 @@ def _sent(parts: int, n_train: int):
                 lefts, li = np.unique(left[at], return_inverse=True)
                 rights, first, ri = np.unique(right[at], return_index=True, return_inverse=True)
                 own_sizes = np.bincount(owner[at], minlength=n).astype(np.uint64)
-                rows.append((q, row["batch"], None, None, squeeze(own_sizes), squeeze(li.astype(np.uint64)), squeeze(lefts), squeeze(ri.astype(np.uint64)), squeeze(rights), squeeze(weight[at][first].astype(np.uint64)), train.tobytes()))
+                split = np.unique(left[at][(shares[at] > 1) & (left[at] != UNKNOWN)]).tolist()
+                rows.append((q, row["batch"], None, None, squeeze(own_sizes), squeeze(li.astype(np.uint64)), squeeze(lefts), squeeze(ri.astype(np.uint64)), squeeze(rights), squeeze(weight[at][first].astype(np.uint64)), train.tobytes(), split))
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _SENT_KINDS, strict=True)], _SENT_NAMES)
 
     return run
@@ -249,57 +265,98 @@ def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return lefts[li] << np.uint64(32) | rights[ri], weights[ri], doc, np.frombuffer(row["train"], bool)[doc]
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """A part of the model table: pairs in order, their counts, and the unigram counts of their right tokens."""
-    p = table.column("part")[0].as_py()
-    pairs, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for batch in table.to_batches():
-        for k in range(batch.num_rows):
-            key, weight, _, train = _pairs(batch.slice(k, 1).to_pylist()[0])
-            pairs.append(key[train])
-            weights.append(weight[train])
-    seen, first, counts = np.unique(np.concatenate(pairs), return_index=True, return_counts=True)
-    weight = np.concatenate(weights)[first]
-    return pa.table({"part": pa.array([p], pa.int64()), "pairs": [squeeze(seen)], "counts": [squeeze(counts.astype(np.uint64))], "rights": [squeeze(weight.astype(np.uint64))], "types": pa.array([count_of_counts(counts)], pa.list_(pa.int64()))})
+#: Of a split context in one part: pairs that occur 1..CUT times, the sum of higher counts, unigram probability of the seen.
+_SUMS = [f"s{k}" for k in range(CUT + 2)]
+_MODEL = "part long, pairs binary, counts binary, rights binary, types array<long>, contexts array<struct<left: long, " + ", ".join(f"{k}: double" for k in _SUMS) + ">>"
+_CONTEXTS = pa.list_(pa.struct([("left", pa.int64()), *((k, pa.float64()) for k in _SUMS)]))
+
+
+def _counted(unigrams: Unigrams):
+    """A part of the model table: pairs in order, their counts, the unigram counts of their right tokens, sums of split contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = table.column("part")[0].as_py()
+        pairs, weights, times, split = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+        for batch in table.to_batches():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                split.update(row["split"])
+                key, weight, _, train = _pairs(row)
+                own, first, n = np.unique(key[train], return_index=True, return_counts=True)
+                pairs.append(own)
+                weights.append(weight[train][first])
+                times.append(n)
+        seen, first, at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        counts = np.bincount(at, np.concatenate(times), len(seen)).astype(np.int64)
+        weight = np.concatenate(weights)[first]
+        contexts, left = [], seen >> np.uint64(32)
+        for u in sorted(split):
+            lo, hi = np.searchsorted(left, [np.uint64(u), np.uint64(u + 1)])
+            c = counts[lo:hi]
+            sums = [*count_of_counts(c)[:CUT], int(c[c > CUT].sum()), float(unigrams.of(weight[lo:hi]).sum())]
+            contexts.append({"left": u} | dict(zip(_SUMS, map(float, sums), strict=True)))
+        return pa.table({
+            "part": pa.array([p], pa.int64()), "pairs": [squeeze(seen)], "counts": [squeeze(counts.astype(np.uint64))], "rights": [squeeze(weight.astype(np.uint64))],
+            "types": pa.array([count_of_counts(counts)], pa.list_(pa.int64())), "contexts": pa.array([contexts], _CONTEXTS),
+        })
+
+    return run
+
+
+def _whole(model: DataFrame) -> DataFrame:
+    """The sums of split contexts over all their parts, at each part that holds tokens of them."""
+    held = model.select("part", F.explode("contexts").alias("c")).select("part", "c.*")
+    sums = held.groupBy("left").agg(*[F.sum(k).alias(k) for k in _SUMS])
+    return held.select("part", "left").join(sums, "left").select("part", "left", F.array(*_SUMS).alias("whole"))
 
 
 class Part:
     """One part of the model: probabilities of its contexts, exactly normalised."""
 
-    def __init__(self, seen: np.ndarray, counts: np.ndarray, rights: np.ndarray, unigrams: Unigrams, factor: np.ndarray):
+    def __init__(self, seen: np.ndarray, counts: np.ndarray, rights: np.ndarray, unigrams: Unigrams, factor: np.ndarray, split: dict[int, list[float]]):
         self.seen, self.unigrams = seen, unigrams
         left = seen >> np.uint64(32)
-        self.contexts, at = np.unique(left, return_inverse=True)
-        k = len(self.contexts)
-        total = np.bincount(at, counts, k)
-        kept = factor[np.where(counts <= CUT, counts, 0)] * counts / total[at]
-        freed = 1 - np.bincount(at, kept, k)
+        whole = np.array(sorted(split), np.uint64)
+        self.contexts = np.union1d(left, whole)
+        at, k = np.searchsorted(self.contexts, left), len(self.contexts)
+        own = counts * factor[np.where(counts <= CUT, counts, 0)]
+        total, kept, known = (np.bincount(at, x, k) for x in (counts, own, unigrams.of(rights)))
+        if split:
+            sums = np.array([split[int(u)] for u in whole])
+            occurring = sums[:, :CUT] * np.arange(1, CUT + 1)
+            c = np.searchsorted(self.contexts, whole)
+            total[c] = occurring.sum(1) + sums[:, CUT]
+            kept[c] = occurring @ factor[1:] + sums[:, CUT]
+            known[c] = sums[:, CUT + 1]
+        freed = 1 - kept / total
         nothing = freed < 1e-9
-        self.scale = np.where(nothing, total / (total + 1), 1.0)
+        scale = np.where(nothing, total / (total + 1), 1.0)
         freed = np.where(nothing, 1 / (total + 1), freed)
-        rest = np.maximum(1 - np.bincount(at, unigrams.of(rights), k), unigrams.unknown)
-        self.log_pair = np.log10(kept * self.scale[at])
-        self.log_back = np.log10(freed / rest)
+        self.log_pair = np.log10(own / total[at] * scale[at])
+        self.log_back = np.log10(freed / np.maximum(1 - known, unigrams.unknown))
 
     def log_probability(self, pairs: np.ndarray, rights: np.ndarray) -> np.ndarray:
         """Recursively: the pair, else its context's weight and the unigram, else the unigram."""
         out = np.log10(self.unigrams.of(rights))
-        if len(self.seen):
-            at = np.minimum(np.searchsorted(self.seen, pairs), len(self.seen) - 1)
-            hit = self.seen[at] == pairs
-            left = pairs >> np.uint64(32)
+        left = pairs >> np.uint64(32)
+        if len(self.contexts):
             c = np.minimum(np.searchsorted(self.contexts, left), len(self.contexts) - 1)
             out += np.where((self.contexts[c] == left) & (left != UNKNOWN), self.log_back[c], 0.0)
-            out[hit & (left != UNKNOWN)] = self.log_pair[at[hit & (left != UNKNOWN)]]
+        if len(self.seen):
+            at = np.minimum(np.searchsorted(self.seen, pairs), len(self.seen) - 1)
+            hit = (self.seen[at] == pairs) & (left != UNKNOWN)
+            out[hit] = self.log_pair[at[hit]]
         return out
 
 
 def _scored(unigrams: Unigrams, factor: np.ndarray):
     def run(tokens: pa.Table, model: pa.Table) -> pa.Table:
         batches, sums = [], []
-        m = model.to_pylist()[0] if model.num_rows else None
+        rows = model.to_pylist()
+        m = next((r for r in rows if r["pairs"] is not None), None)
+        split = {r["left"]: r["whole"] for r in rows if r["left"] is not None}
         seen, counts, rights = (unsqueeze(m["pairs"]), unsqueeze(m["counts"], np.int64), unsqueeze(m["rights"], np.int64)) if m else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
-        part = Part(seen, counts, rights, unigrams, factor)
+        part = Part(seen, counts, rights, unigrams, factor, split)
         for batch in tokens.to_batches():
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -350,16 +407,17 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     parts = max(1, -(-((size["words"] or 0) + (size["docs"] or 0)) // TOKENS))
     _released(spark)
     mine = answers.where("kind = 'answer'").select("batch", "part", "numbers", "counts")
-    sent = common.stored(table.groupBy("batch").cogroup(mine.groupBy("batch")).applyInArrow(_sent(parts, n_train), _SENT), "tokens", "part")
+    sent = common.stored(table.groupBy("batch").cogroup(mine.groupBy("batch")).applyInArrow(_sent(parts, n_train, TOKENS), _SENT), "tokens", "part")
     common.dropped(table)
     common.dropped(answers)
     _released(spark)
     tokens = sent.where("part >= 0").drop("ids", "info").repartition(parts, "part")
-    model = common.stored(tokens.groupBy("part").applyInArrow(_counted, "part long, pairs binary, counts binary, rights binary, types array<long>"), "pairs", "part")
+    model = common.stored(tokens.groupBy("part").applyInArrow(_counted(unigrams), _MODEL), "pairs", "part")
     types = model.agg(*[F.sum(F.col("types")[k]).alias(f"t{k}") for k in range(CUT + 1)]).first()
     factor = discounts(np.array([int(x or 0) for x in types]))
     _released(spark)
-    sums = tokens.groupBy("part").cogroup(model.drop("types").groupBy("part")).applyInArrow(_scored(unigrams, factor), "batch long, sums binary")
+    known = model.select("part", "pairs", "counts", "rights").unionByName(_whole(model), allowMissingColumns=True)
+    sums = tokens.drop("split").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_scored(unigrams, factor), "batch long, sums binary")
     info = sent.where("part = -1").select("batch", "ids", "info")
     both = info.withColumn("sums", F.lit(None).cast("binary")).unionByName(sums, allowMissingColumns=True)
     out = both.groupBy("batch").applyInArrow(_added(n_all, vocabulary), "doc_id long, n_tokens long, n_known long, base_score double, score double")
