@@ -20,7 +20,8 @@ pairs over as many parts as it fills. (3) Parts count pairs and write the model
 over all parts, and the discounts and seen probabilities of split contexts over their parts. (4) Tokens meet the
 model table of their part, and sums by document go back. All exchanges carry compressed arrays, one
 row for each batch and part; intermediate tables are removed when they are no longer read. Nothing of the
-model is broadcast but totals. So no part grows with a frequent word; a single frequent pair stays in one part,
+model is broadcast but totals, and the sums of split contexts (one row each) where Spark finds them under its
+broadcast threshold. So no part grows with a frequent word; a single frequent pair stays in one part,
 where each batch brings it as one count to learn and a run of equal values to score.
 
 Null texts are empty: their one token is the end. Rows are scored one by one, so repeated rows count as
