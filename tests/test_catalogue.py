@@ -33,6 +33,12 @@ def test_query(spark, con, sf_dir, name):
         assert got == want
 
 
+def test_padded_neighbours_are_those_of_the_whole_series(spark, con, sf_dir):
+    found = {(r.tid, r.k): (r.pos, r.corr) for r in con.execute(catalogue._sql_knn(5, 200)).fetchdf().itertuples()}
+    got = {(r.tid, r.k): (r.pos, r.corr) for r in catalogue.QUERIES["knn_padded"](spark, sf_dir).collect()}
+    assert got == {(tid, k): found.get((tid, k), (None, None)) for tid in range(len(catalogue.STARTS)) for k in range(1, 6)}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -124,7 +124,7 @@ _add("knn_adaptive", _knn("auto", o=O), _sql_knn(o=O))
 
 def knn_padded(spark, d):
     s, q = _both(spark, d)
-    return _near(search.knn_search(S.prefix(s, 700), q, M, 5, 200, "scan", pad=True))
+    return _near(search.knn_search(s, q, M, 5, 200, "scan", pad=True))
 
 
 _add("knn_padded", knn_padded)
