@@ -109,6 +109,26 @@ def test_templates_of_a_channel_in_slices(spark, fixture, monkeypatch):
         assert [r.pos for r in sorted(near, key=lambda r: r.k) if r.tid == k] == nearest(corr[k], 3, 20)
 
 
+def test_index_leaves_blocks_out_of_the_second_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    shape = np.sin(np.arange(M) / 5)
+    x = np.concatenate([np.concatenate([shape + 0.01 * rng.standard_normal(M) for _ in range(8)]), np.tile([1.0, -1.0], 1000) + 0.01 * rng.standard_normal(2000)])
+    series = spark.createDataFrame([(c, i, float(v)) for c in "cd" for i, v in enumerate(x)], "channel string, pos long, v double")
+    templates = spark.createDataFrame([(0, shape.tolist()), (1, [0.0] * M)], "tid int, v array<double>")
+    counts, real = [], index.candidate_blocks
+
+    def counted(held, *rest):
+        out = real(held, *rest)
+        counts.append((out.count(), held.count()))
+        return out
+
+    monkeypatch.setattr(index, "candidate_blocks", counted)
+    rows = lambda s, q: sorted((r.channel, r.tid, r.k, r.pos) for r in search.knn_search(series, q, M, 3, 40, s, span=256).collect())
+    own = templates.withColumn("channel", search.F.lit("d"))
+    assert rows("index", templates) == rows("scan", templates) and rows("index", own) == rows("scan", own)
+    assert len(counts) == 2 and all(0 < few < all_ for few, all_ in counts)
+
+
 def test_padding_and_arguments(fixture):
     x, q, series, templates = fixture
     got = search.knn_search(series.where("pos < 100"), templates, M, 4, 30, "scan", pad=True).collect()

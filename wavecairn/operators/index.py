@@ -98,9 +98,10 @@ def tree_statistics(nodes: DataFrame, segments: int) -> DataFrame:
     )
 
 
-def leaf_bounds(nodes: DataFrame, z: np.ndarray, m: int, segments: int, bound: float) -> DataFrame:
-    """The leaves that can hold a window within the bound of some template."""
-    means = kernels.paa(z[~np.isnan(z).any(1)], segments)
+def leaf_bounds(nodes: DataFrame, z: np.ndarray, m: int, segments: int, bound: float | np.ndarray) -> DataFrame:
+    """The leaves that can hold a window within the bound, one or one for each, of some template."""
+    good = ~np.isnan(z).any(1)
+    means, most = kernels.paa(z[good], segments), np.broadcast_to(bound, len(z))[good] * (1 + 1e-9) + 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.concatenate([[-np.inf], kernels.breakpoints(), [np.inf]])
@@ -108,16 +109,16 @@ def leaf_bounds(nodes: DataFrame, z: np.ndarray, m: int, segments: int, bound: f
             w = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint8).reshape(-1, segments).astype(int)
             b = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(-1, segments).astype(int)
             low, high = edges[w << (8 - b)], edges[(w + 1) << (8 - b)]
-            least = np.full(len(w), np.inf)
-            for q in means:
+            live = np.zeros(len(w), bool)
+            for q, limit in zip(means, most, strict=True):
                 gap = np.maximum(np.maximum(low - q, q - high), 0)
-                least = np.minimum(least, m / segments * (gap**2).sum(1))
-            yield batch.filter(pa.array(least <= bound * (1 + 1e-9) + 1e-6))
+                live |= m / segments * (gap**2).sum(1) <= limit
+            yield batch.filter(pa.array(live))
 
     return nodes.mapInArrow(run, nodes.schema)
 
 
-def candidate_blocks(held: DataFrame, z: np.ndarray, bound: float, segments: int, span: int) -> DataFrame:
+def candidate_blocks(held: DataFrame, z: np.ndarray, bound: float | np.ndarray, segments: int, span: int) -> DataFrame:
     """Blocks with a window whose word is in a leaf that survives the bound; the others are never compared."""
     m = z.shape[1]
     words = rooted(summaries(held, m, segments, span), segments)

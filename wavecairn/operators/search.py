@@ -201,11 +201,23 @@ def _best(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("k", F.row_number().over(order).cast("long")).where(F.col("k") <= n)
 
 
+def _bounds(limits: DataFrame, held: DataFrame, part: Slice, most: float) -> np.ndarray:
+    """The widest limit of each template over its channels; `most` if a channel has none."""
+    rows = limits.groupBy("tid", *(["channel"] if part.channels is not None else [])).agg(F.max("ed").alias("ed"), F.count("*").alias("n")).collect()  # a slice's templates at most
+    if part.channels is not None:
+        known = {(r["channel"], r["tid"]): r["ed"] for r in rows}
+        return np.array([known.get((c, int(t)), most) for c, t in zip(part.channels, part.ids, strict=True)])
+    channels = held.select("channel").distinct().count()
+    known = {r["tid"]: r["ed"] for r in rows if r["n"] == channels}
+    return np.array([known.get(int(t), most) for t in part.ids])
+
+
 def knn_search(series: DataFrame, templates: DataFrame, m: int, k: int, o: int = 0, strategy: str = "auto", segments: int = 16, span: int = SPAN, pad: bool = False) -> DataFrame:
     """channel, tid, k, pos, corr of the k nearest windows of each template, o apart.
 
     A first pass takes the best separated windows of each block; 2k - 1 of them that are o apart bound the
-    k-th distance. A second pass keeps only windows within the bound, so later steps see few rows.
+    k-th distance. A second pass keeps only windows within the bound, so later steps see few rows; `index` compares
+    only blocks with a surviving leaf there. Without an exclusion zone the first pass is the answer.
     """
     check(m, segments, k=k, o=o, strategy=strategy)
     if strategy == "auto":
@@ -227,7 +239,14 @@ def knn_search(series: DataFrame, templates: DataFrame, m: int, k: int, o: int =
                 continue
             enough = apart.groupBy("channel", "tid").agg(F.count("*").alias("n"), F.min("corr").alias("corr")).where(F.col("n") == wanted)
             limits = enough.select("channel", "tid", (2.0 * m * (1 - F.col("corr")) + 1e-9).alias("ed"))
-            parts.append(_matched(held, part, 4.0 * m, "sax" if strategy == "index" else strategy, segments, span, limits=limits))
+            within = held
+            if strategy == "index":
+                from ..sources.series import stored
+                from .index import candidate_blocks
+
+                limits = stored(limits, "limits")
+                within = candidate_blocks(held, part.z, _bounds(limits, held, part, 4.0 * m), segments, span)
+            parts.append(_matched(within, part, 4.0 * m, "sax" if strategy == "index" else strategy, segments, span, limits=limits))
         hits = _united(parts, series.sparkSession)
     best = _best(hits, candidate_limit(k, o))
     out = (excluded(best, k, o) if o else best).select("channel", "tid", "k", "pos", "corr")
