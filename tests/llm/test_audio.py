@@ -46,3 +46,13 @@ def test_null_empty_and_clashing_columns(spark):
     got = audio.media(docs).collect()
     assert sorted(r.n_bytes for r in got) == [0, 0, 0, 14] and {r.payload_bytes for r in got} == {192}
     assert audio.media(docs.limit(0)).count() == 0
+
+
+def test_wrong_seek_points_do_not_agree():
+    stream = audio.build(os.urandom(50_000))
+    whole = audio.parse(stream)
+    assert json.loads(audio.features(whole))["table_agrees"]
+    for k in (0, 50, 99):
+        wrong = bytearray(stream)
+        wrong[stream.index(whole["table"]["seek"]) + k] ^= 1
+        assert not json.loads(audio.features(audio.parse(bytes(wrong))))["table_agrees"]

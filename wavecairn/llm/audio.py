@@ -111,7 +111,7 @@ def build(payload: bytes) -> bytes:
     front = _KINDS[4][1]  # 64 kbit/s: 288 bytes, enough for the 120 of the table
     total = int(sizes.sum()) + 288
     ends = np.concatenate([[288], 288 + np.cumsum(sizes)])
-    seek = bytes(np.minimum(255, ends[np.arange(100) * len(frames) // 100] * 256 // total).astype(np.uint8))
+    seek = seek_points(ends[:-1], total)
     steady = len(set(sizes.tolist())) == 1
     table = (b"Info" if steady else b"Xing") + struct.pack(">III", 7, len(frames), total) + seek
     lead = front + table
@@ -189,11 +189,18 @@ def seek_offset(parsed: dict, seconds: float) -> int | None:
     return parsed["offsets"][k] if 0 <= k < len(parsed["offsets"]) else None
 
 
+def seek_points(starts: np.ndarray, total: int) -> bytes:
+    """Where in 256ths of the stream each hundredth of the frames begins; starts: offsets of the frames."""
+    return bytes(np.minimum(255, starts[np.arange(100) * len(starts) // 100] * 256 // total).astype(np.uint8))
+
+
 def features(parsed: dict) -> str:
-    """Exact duration as samples over Hz, frame count, and agreement of the stored table with the frames."""
+    """Exact duration as samples over Hz, frame count, and agreement of the stored table, seek points included, with the frames."""
     table, offsets = parsed["table"], parsed["offsets"]
     agrees = bool(table) and table.get("frames") == len(offsets) and table.get("bytes") == parsed["end"] - table["at"]
     seeks = np.array(offsets, "<i8")
+    if agrees and "seek" in table:
+        agrees = bool(offsets) and table["seek"] == seek_points(seeks - table["at"], table["bytes"])
     return json.dumps(
         {
             "samples": SAMPLES * len(offsets),
