@@ -58,3 +58,9 @@ def test_long_texts_take_linear_time_and_odd_rows(spark):
     assert got == [(1, "email:0:8", "[EMAIL]")] * 3
     assert sorted((r.n_chars, r.text) for r in pii.redacted(docs).collect() if r.text) == [(7, "[EMAIL]")] * 3
     assert pii.scan(docs.limit(0)).count() == 0
+
+
+def test_candidates_do_not_depend_on_the_rest_of_the_text():
+    for text in ('password = "qWertZuioPasdFghjK"', "key = " + "aB3" * 200, "mail jo at host[DOT]org", "mail jo at host (DOT) org", "fe:ab:cd:ef:aa:bb:cc:dd"):
+        own = pii.candidates(text)
+        assert len(own) == 1 and pii.candidates(text + " on 7 dot days") == own, text

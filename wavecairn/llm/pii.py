@@ -85,7 +85,7 @@ def base(text: str) -> list[Span]:
 
 MORE = ("secret", "spelled_email", "local_phone", "ssn", "iban", "ipv6")
 _MARK = {
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}+(?![A-Za-z0-9+/_=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+(?![A-Za-z0-9+/_=-])"),
     "spelled_email": re.compile(r"(?<![\w.])[a-z0-9][a-z0-9._-]{0,40}+ ?[\[(]?\b(?:at|AT)\b[\])]? ?[a-z0-9-]{2,40}+ ?[\[(]?\b(?:dot|DOT)\b[\])]? ?[a-z]{2,10}\b"),
     "local_phone": re.compile(r"(?<![\w+])\(?[0-9]{2,5}\)?[ ./-]{1,2}[0-9]{2,4}[ ./-][0-9]{2,6}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
@@ -93,6 +93,8 @@ _MARK = {
     "ipv6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:?){0,6}(?![\w:])"),
 }
 _HEAVY = re.compile(r"[0-9]")
+#: Kinds whose pattern needs a digit.
+_NUMERIC = frozenset(("local_phone", "ssn", "iban"))
 _CUES = ("token", "key", "secret", "password", "api", "auth", "tel", "phone", "call", "fax", "mobile", "mail", "contact", "ssn", "social", "iban", "account", "bank", "ip", "host", "server", "version", "order", "hash", "commit", "id")
 
 
@@ -101,9 +103,9 @@ def candidates(text: str) -> list[Span]:
     digit = _HEAVY.search(text) is not None
     for kind, pattern in _MARK.items():
         if kind == "spelled_email":
-            if not any(x in text for x in (" dot ", "[dot]", "(dot)", " DOT ")):
+            if "dot" not in text and "DOT" not in text:
                 continue
-        elif not digit or kind == "ipv6" and ":" not in text:
+        elif kind == "ipv6" and ":" not in text or kind in _NUMERIC and not digit:
             continue
         found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return found
