@@ -37,7 +37,9 @@ def op6_mpeg_audio(spark, sf_dir):
 
 def op7_lines(spark, sf_dir):
     out = lines.dedup(common.documents(spark, sf_dir))
-    return out.select("doc_id", "n_units", "n_removed", F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    removed = F.concat_ws(",", F.transform("removed", lambda x: F.concat_ws(":", x["s"], x["e"])))
+    kept = F.sha2(F.encode(F.coalesce("kept", F.lit("")), "UTF-8"), 256)
+    return out.select("doc_id", "n_units", "n_removed", "n_repeated", "n_passages", removed.alias("removed"), kept.alias("kept_sha256"))
 
 
 def op8_minhash(spark, sf_dir):
