@@ -2,7 +2,7 @@ import hashlib
 
 import duckdb
 
-from wavecairn.llm import lines
+from wavecairn.llm import common, lines
 from wavecairn.llm.queries import ORACLES, op7_lines
 
 
@@ -48,7 +48,7 @@ def test_paragraphs_keep_their_breaks():
 def test_short_lines_go_and_passages_inside_lines_are_told(spark):
     passage = "one two three four five six. Seven eight nine ten eleven twelve thirteen! Yes. " + " ".join(f"w{k}" for k in range(20)) + "?"
     rows = [(1, f"intro here {passage} outro a\nHi"), (2, f"other words {passage.upper()} z\nhi "), (3, "one two three four five six."), (4, "hi\nhi")]
-    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), passage=28).collect()}
     assert [got[k].n_removed for k in (1, 2, 3, 4)] == [0, 1, 0, 2]
     assert [got[k].n_repeated for k in (1, 2, 3, 4)] == [1, 1, 0, 2]
     assert [got[k].n_passages for k in (1, 2, 3, 4)] == [0, 0, 0, 0]  # 27 words: the first sentence is not alone
@@ -62,6 +62,6 @@ def test_frequent_units_meet_by_broadcast(spark, monkeypatch):
     rows = [(k, f"the same line of words\nown line number {k}\n") for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     plain = sorted(map(str, lines.dedup(docs).collect()))
-    monkeypatch.setattr(lines, "HOT", 1)  # nothing is frequent
+    monkeypatch.setattr(common, "HOT", 1)  # nothing is frequent
     assert sorted(map(str, lines.dedup(docs).collect())) == plain
     assert sum("n_removed=1" in x for x in plain) == 2999

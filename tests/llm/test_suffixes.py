@@ -55,8 +55,10 @@ def key(x):
     return tuple((v is None, v) for v in x)
 
 
-def same(df, want):
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()]
+def same(df, rows, length=400, passage=300):
+    """The contract's columns, and the passages: the spans of a shorter length."""
+    want = [(*x, y[3]) for x, y in zip(brute(rows, length), brute(rows, passage), strict=True)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages) for r in df.collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
@@ -64,12 +66,12 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     from wavecairn.llm.queries import op10_suffixes
 
     rows = [(r.doc_id, r.text) for r in common.documents(spark, sf_dir).collect()]
-    same(op10_suffixes(spark, sf_dir), brute(rows, 400))
+    same(op10_suffixes(spark, sf_dir), rows)
 
 
 def test_shared_passages_slices_and_odd_rows(spark, monkeypatch):
     rng = random.Random(8)
-    for name, value in (("SLICE", 1 << 12), ("SHARD", 5000), ("LEAD", 512)):
+    for name, value in (("SLICE", 1 << 12), ("SHARD", 5000), ("LEAD", 512), ("MANY", 4)):
         monkeypatch.setattr(suffixes, name, value)
     make = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [make(rng.randrange(300, 900)) for _ in range(6)]
@@ -77,5 +79,6 @@ def test_shared_passages_slices_and_odd_rows(spark, monkeypatch):
     rows += [(k, make(rng.randrange(300)) + rng.choice(passages) + make(rng.randrange(600)) + rng.choice(passages)[: rng.randrange(900)] + make(50)) for k in range(10, 50)]
     rows += [rows[10], (99, rows[12][1]), (100, rows[7][1][2000:6000])]
     docs = spark.createDataFrame([(i, t, "c", 3) for i, t in rows], "doc_id long, text string, class string, n_bytes int")
-    same(suffixes.dedup(docs), brute(rows, 400))
+    same(suffixes.dedup(docs), rows)
+    same(suffixes.dedup(docs, 300, 500), rows, 300, 300)
     assert suffixes.dedup(docs.limit(0)).count() == 0

@@ -57,6 +57,22 @@ def dropped(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that hold more than this share of all rows (1 / HOT) are joined by broadcast.
+HOT = 1000
+
+
+def met(each: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
+    """each joined with groups(key, times, ...), times being the rows of each with that key, of `total`.
+
+    Frequent keys go by broadcast: HOT rows at most, since they hold a HOT-th of all rows each. Only the others are exchanged, so no task
+    gathers the rows of one key. `groups` is read twice and should be stored.
+    """
+    frequent = F.col("times") * HOT > total
+    hot = F.broadcast(groups.where(frequent))
+    rest = each.join(F.broadcast(groups.where(frequent).select(key)), key, "left_anti")
+    return each.join(hot, key).unionByName(rest.join(groups.where(~frequent), key))
+
+
 def crc_mod(column, n: int):
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % n

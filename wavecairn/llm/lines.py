@@ -12,7 +12,7 @@ the others; passages are told, not removed.
 
 Rows with the same doc_id and text are one document and give the same result; rows that share a doc_id only
 are different documents. Null texts stay null and empty texts empty. Winners and counts are pre-aggregated, and the
-few digests that fill over a HOT-th of all units are joined by broadcast (HOT rows at most), so no task holds the
+few digests that fill over a thousandth of all units are joined by broadcast, so no task holds the
 occurrences of a frequent line. An empty table gives an empty result.
 """
 
@@ -29,9 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAST_WORDS, SENTENCE, PASSAGE = 1, 5, 30
-#: A digest with more than this share of all units (1 / HOT) is joined by broadcast.
-HOT = 1000
+LEAST_WORDS, SENTENCE, PASSAGE = 1, 5, 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _BREAK = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\x09]*\n\s*"), "sentence": re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+|\n")}
@@ -86,13 +84,6 @@ def without(text: str, gone: set[int], kind: str = "line") -> tuple[str, list[di
     return "".join(u + (b if k < len(parts) - 1 else "") for k, (u, b) in enumerate(parts)), spans
 
 
-def _met(each: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
-    """each joined with groups(key, times, ...): frequent keys, HOT at most, by broadcast, the others by exchange."""
-    hot, cold = groups.where(F.col("times") * HOT > total), groups.where(F.col("times") * HOT <= total)
-    rest = each.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return each.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
-
-
 def dedup(docs: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS, passage: int = PASSAGE) -> DataFrame:
     """doc_id, n_units, n_removed, n_repeated (units that occur elsewhere too, kept ones included), n_passages, removed and passages (spans), kept (the text that stays)."""
 
@@ -125,12 +116,12 @@ def dedup(docs: DataFrame, kind: str = "line", least_words: int = LEAST_WORDS, p
     zipped = table.select("row", "doc_id", "text_key", F.explode(F.arrays_zip("digest", "place")).alias("u"))
     each = zipped.select("row", "doc_id", "text_key", "u.*").select("row", "digest", spot.alias("spot"))
     firsts = common.stored(each.groupBy("digest").agg(F.min("spot").alias("first"), F.count("*").alias("times")).where("times > 1"), "firsts")
-    met = _met(each, firsts, "digest", size["units"] or 0)
+    met = common.met(each, firsts, "digest", size["units"] or 0)
     gone = met.groupBy("row").agg(F.count("*").alias("n_repeated"), F.collect_set(F.when(F.col("first") != F.col("spot"), F.col("spot.place"))).alias("gone"))
 
     heard = table.select("row", F.posexplode("sentence").alias("k", "sentence"))
     twice = common.stored(heard.groupBy("sentence").agg(F.count("*").alias("times")).where("times > 1"), "sentences")
-    again = _met(heard, twice, "sentence", size["sentences"] or 0).groupBy("row").agg(F.collect_list("k").alias("again"))
+    again = common.met(heard, twice, "sentence", size["sentences"] or 0).groupBy("row").agg(F.collect_list("k").alias("again"))
     joined = table.select("row", "doc_id", "text", "bounds").join(gone, "row", "left").join(again, "row", "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,12 +6,14 @@ level, over bytes, works bucket by bucket on whole arrays; the deeper levels, ov
 long and run as plain loops. ``permuted_lcp`` computes common prefixes in text order: only irreducible
 positions are compared, the others follow from their left neighbour.
 
-To spread the work, every window of 400 bytes is represented by its anchor, the k-mer of least hash in it,
+To spread the work, every window of PASSAGE bytes is represented by its anchor, the k-mer of least hash in it,
 which depends on the window's bytes only. An anchor that occurs at one place only rules its windows out. All
-windows of another go to the shard of the anchor's first occurrence, a piece of text called its leader, so
-equal windows always meet, and neighbouring anchors mostly share a leader. Pieces with equal bytes enter a
-shard's suffix array once, with their count. A window is a repeat if its suffix shares 400 bytes with a
-neighbour in the array, or its piece is one of several.
+windows of another go, with the bytes that follow them up to 400, to the shard of the anchor's first occurrence, a
+piece of text called its leader, so equal windows always meet, and neighbouring anchors mostly share a leader. An
+anchor that occurs over MANY times has a shard of its own instead, so that a large group of near copies is split by
+its places. Pieces with equal bytes enter a shard's suffix array once, with their count. A string is a repeat if its
+suffix shares its bytes with a neighbour in the array, or its piece is one of several. Repeats of 400 bytes are
+removed; runs covered by repeats of PASSAGE bytes (fifty words or so) are counted as passages.
 
 Matches never cross documents; texts are bytes of UTF-8, null is empty. Documents are told apart by text and
 number of rows, so repeated rows count as repeats of each other whatever their ids. Texts under 400 bytes lose
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LENGTH, KMER, SLICE = 400, 100, 1 << 21
+LENGTH, PASSAGE, KMER, SLICE = 400, 300, 100, 1 << 21
 #: Bytes that a shard is meant to hold, and bytes of a leader's text that its followers come to one shard for.
 SHARD, LEAD = 2 << 20, 4096
+#: Occurrences beyond which an anchor has a shard of its own.
+MANY = 2048
 INVERSE = pow(common._BASE, -1, 2**64)
 
 
@@ -256,25 +260,25 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ahead, behind
 
 
-def repeats(pieces: list[bytes], several: list[bool], length: int) -> list[list[tuple[int, int]]]:
-    """Maximal runs of bytes of each piece that are covered by repeated strings of this length."""
+def repeats(pieces: list[bytes], several: list[bool], *lengths: int) -> list[list[list[tuple[int, int]]]]:
+    """For each length, maximal runs of bytes of each piece that are covered by repeated strings of this length."""
     if not pieces:
-        return []
+        return [[] for _ in lengths]
     text = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)
     sizes = np.array([len(p) for p in pieces], np.int64)
     start = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     ahead, behind = permuted_lcp(text, suffix_array(text))
     room = np.repeat(start + sizes, sizes + 1) - np.arange(len(text))
-    hit = np.minimum(np.maximum(ahead, behind), room) >= length
-    hit |= np.repeat(np.array(several, bool), sizes + 1) & (room >= length)
-    out: list[list[tuple[int, int]]] = [[] for _ in pieces]
-    place = np.flatnonzero(hit)
-    if len(place):
-        owner = np.searchsorted(start, place, "right") - 1
-        cut = np.flatnonzero((place[1:] > place[:-1] + length) | (owner[1:] != owner[:-1])) + 1
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True):
-            k = int(owner[lo])
-            out[k].append((int(place[lo] - start[k]), int(place[hi - 1] - start[k]) + length))
+    shared = np.minimum(np.where(np.repeat(np.array(several, bool), sizes + 1), room, np.maximum(ahead, behind)), room)
+    out: list[list[list[tuple[int, int]]]] = [[[] for _ in pieces] for _ in lengths]
+    for found, length in zip(out, lengths, strict=True):
+        place = np.flatnonzero(shared >= length)
+        if len(place):
+            owner = np.searchsorted(start, place, "right") - 1
+            cut = np.flatnonzero((place[1:] > place[:-1] + length) | (owner[1:] != owner[:-1])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True):
+                k = int(owner[lo])
+                found[k].append((int(place[lo] - start[k]), int(place[hi - 1] - start[k]) + length))
     return out
 
 
@@ -322,8 +326,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kmer: i
                 yield r, hashed[place].view(np.int64), place + base, turn + first + base, until + first + base
 
 
-def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, class (sha256 of the bytes), n_bytes, and the row's anchors."""
+def _anchored(docs: DataFrame, window: int) -> DataFrame:
+    """doc_id, class (sha256 of the bytes), n_bytes, text, and the row's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,35 +336,36 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
                 data, offsets = common.utf8(part.column("text"))
                 raw = data.tobytes()
                 found: dict[int, list] = {}
-                for r, *four in anchors(data, offsets, length):
+                for r, *four in anchors(data, offsets, window):
                     found.setdefault(r, []).append(four)
                 lists = {}
                 for k, name in enumerate(("hash", "place", "lo", "hi")):
                     kind = pa.int64()
                     lists[name] = pa.array([np.concatenate([f[k] for f in found[r]]) if r in found else [] for r in range(part.num_rows)], pa.list_(kind))
-                names = [hashlib.sha256(raw[offsets[r] : offsets[r + 1]]).hexdigest() for r in range(part.num_rows)]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "class": names, "n_bytes": pa.array(np.diff(offsets), pa.int64()), **lists})
+                names = pa.array([hashlib.sha256(raw[offsets[r] : offsets[r + 1]]).digest() for r in range(part.num_rows)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "class": names, "n_bytes": pa.array(np.diff(offsets), pa.int64()), "text": part.column("text"), **lists})
 
-    return common.texts(docs).mapInArrow(run, "doc_id long, class string, n_bytes long, hash array<long>, place array<long>, lo array<long>, hi array<long>")
+    return common.texts(docs).mapInArrow(run, "doc_id long, class binary, n_bytes long, text string, hash array<long>, place array<long>, lo array<long>, hi array<long>")
 
 
 def _cut(pieces: DataFrame, length: int) -> DataFrame:
-    """shard, class, start and bytes of each piece: the union of the windows that a class sends to a shard."""
+    """shard, rep, start and bytes of each piece: the union of the windows that a text sends to a shard, with what follows them up to `length`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 rows = []
-                for shard, name, windows, text in zip(*(part.column(c).to_pylist() for c in ("shard", "class", "windows", "text")), strict=True):
+                for shard, rep, windows, text in zip(*(part.column(c).to_pylist() for c in ("shard", "rep", "windows", "text")), strict=True):
                     raw = text.encode()
                     for s, e in merged((w["lo"], w["hi"] + length) for w in windows):
                         piece = raw[s:e]
-                        rows.append((shard, hashlib.sha256(piece).hexdigest()[:32], name, s, piece))
+                        rows.append((shard, hashlib.sha256(piece).digest()[:16], rep, s, piece))
                 if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(("shard", "digest", "class", "start", "piece"), map(list, zip(*rows, strict=True)), strict=True)))
+                    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "digest", "rep", "start", "piece"])
 
-    return pieces.mapInArrow(run, "shard long, digest string, class string, start long, piece binary")
+    return pieces.mapInArrow(run, "shard long, digest binary, rep long, start long, piece binary")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -374,56 +379,67 @@ def merged(spans) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and removed: the removed spans in bytes, ends exclusive."""
-    base = common.stored(_anchored(docs, length), "anchored")
+def dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and removed: the removed spans in bytes, ends exclusive.
+
+    passage: at most `length`; n_passages counts the maximal runs covered by strings of that many bytes that start elsewhere too.
+    """
+    window = min(length, passage)
+    base = common.stored(_anchored(docs, window).withColumn("row", F.monotonically_increasing_id()), "anchored")
     rows = base.select("doc_id", "class", "n_bytes")
-    copies = rows.groupBy("class").agg(F.count("*").alias("n_rows"))
-    each = base.select("class", F.explode(F.arrays_zip("hash", "place", "lo", "hi")).alias("w")).select("class", "w.*")
-    spot = F.struct("class", "place")
-    found = each.groupBy("hash").agg(F.min(spot).alias("leader"), F.max(spot).alias("last")).where("leader <> last")
-    found = found.select("hash", F.col("leader.class").alias("leader"), F.floor(F.col("leader.place") / LEAD).alias("part"))
-    met = common.stored(each.distinct().join(found, "hash").select("class", "leader", "part", "lo", "hi"), "met")
+    # equal texts are one; the least row stands for them
+    classes = common.stored(base.groupBy("class").agg(F.min("row").alias("rep"), F.count("*").alias("n_rows")), "classes")
+    alone = base.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").where(F.size("hash") > 0)
+    each = common.stored(alone.select(F.col("row").alias("rep"), F.explode(F.arrays_zip("hash", "place", "lo", "hi")).alias("w")).select("rep", "w.*"), "anchors")
+    spot = F.struct("rep", "place")
+    found = each.groupBy("hash").agg(F.min(spot).alias("leader"), F.max(spot).alias("last"), F.count("*").alias("times")).where("leader <> last")
+    apart = F.col("times") > MANY
+    led = F.when(apart, F.xxhash64("hash")).otherwise(F.xxhash64("leader.rep", F.floor(F.col("leader.place") / LEAD)))
+    found = common.stored(found.select("hash", "times", led.alias("led")), "leaders")
+    met = common.stored(common.met(each, found, "hash", each.count()).select("rep", "led", "lo", "hi"), "met")
+    common.dropped(each)
     volume = met.agg(F.sum(F.col("hi") - F.col("lo") + length // 2)).first()[0] or 0
     shards = max(1, int(volume // SHARD))
     windows = (
-        met.withColumn("shard", F.pmod(F.xxhash64("leader", "part"), F.lit(shards)))
-        .groupBy("class", "shard")
+        met.withColumn("shard", F.pmod("led", F.lit(shards)))
+        .groupBy("rep", "shard")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
     )
     # the text of one document of each class that has windows to compare
-    wanted = met.select("class").distinct()
-    own = common.texts(docs).where("text is not null").withColumn("class", F.sha2(F.encode("text", "UTF-8"), 256))
-    bodies = common.stored(own.join(wanted, "class", "left_semi").dropDuplicates(["class"]).select("class", "text"), "bodies")
-    pieces = common.stored(_cut(windows.join(bodies, "class"), length), "pieces")
+    bodies = common.stored(base.select(F.col("row").alias("rep"), "class", "text").join(met.select("rep").distinct(), "rep", "left_semi"), "bodies")
+    pieces = common.stored(_cut(windows.join(bodies.select("rep", "text"), "rep"), length), "pieces")
     distinct = pieces.groupBy("shard", "digest").agg(F.count("*").alias("times"), F.first("piece").alias("piece"))
 
     def sort(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("digest")
-        spans = repeats(list(group["piece"]), list(group["times"] > 1), length)
-        return pd.DataFrame([(s, d, a, b) for s, d, own in zip(group["shard"], group["digest"], spans, strict=True) for a, b in own], columns=["shard", "digest", "a", "b"])
+        both = repeats(list(group["piece"]), list(group["times"] > 1), length, window)
+        found = [(s, d, k, a, b) for k, spans in enumerate(both) for s, d, own in zip(group["shard"], group["digest"], spans, strict=True) for a, b in own]
+        return pd.DataFrame(found, columns=["shard", "digest", "kind", "a", "b"])
 
-    hits = common.stored(distinct.repartition(shards, "shard").groupBy("shard").applyInPandas(sort, "shard long, digest string, a long, b long"), "hits")
-    spans = pieces.select("shard", "digest", "class", "start").join(hits, ["shard", "digest"])
-    spans = spans.groupBy("class").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b")).alias("e"))).alias("spans"))
+    hits = common.stored(distinct.repartition(shards, "shard").groupBy("shard").applyInPandas(sort, "shard long, digest binary, kind int, a long, b long"), "hits")
+    spans = pieces.select("shard", "digest", "rep", "start").join(hits, ["shard", "digest"])
+    place = F.struct((F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b")).alias("e"))
+    spans = spans.groupBy("rep").agg(F.collect_list(F.when(F.col("kind") == 0, place)).alias("spans"), F.collect_list(F.when(F.col("kind") == 1, place)).alias("told"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for name, text, given in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "spans")), strict=True):
+            for name, text, given, told in zip(*(batch.column(c).to_pylist() for c in ("class", "text", "spans", "told")), strict=True):
                 raw, at, kept = text.encode(), 0, []
                 cut = merged((x["s"], x["e"]) for x in given)
                 for s, e in cut:
                     kept.append(raw[at:s])
                     at = e
-                out.append((name, [{"s": s, "e": e} for s, e in cut], hashlib.sha256(b"".join([*kept, raw[at:]])).hexdigest()))
+                out.append((name, [{"s": s, "e": e} for s, e in cut], len(merged((x["s"], x["e"]) for x in told)), hashlib.sha256(b"".join([*kept, raw[at:]])).hexdigest()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["class", "spans", "kept"])
-
-    kinds = [pa.string(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.string()]
-    cut = spans.join(bodies, "class").mapInArrow(keep, "class string, spans array<struct<s:long,e:long>>, kept string")
-    out = rows.join(copies.where("n_rows > 1"), "class", "left").join(cut, "class", "left")
-    whole = F.col("n_rows").isNotNull() & (F.col("n_bytes") >= length)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["class", "spans", "told", "kept"])
+
+    kinds = [pa.binary(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.int64(), pa.string()]
+    cut = spans.join(bodies, "rep").mapInArrow(keep, "class binary, spans array<struct<s:long,e:long>>, told long, kept string")
+    copies = classes.where("n_rows > 1").select("class", "n_rows")
+    out = rows.join(copies, "class", "left").join(cut, "class", "left")
+    several = F.col("n_rows").isNotNull()
+    whole = several & (F.col("n_bytes") >= length)
     removed = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<s:long,e:long>>")))
     nothing = hashlib.sha256(b"").hexdigest()
     return out.select(
@@ -431,6 +447,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "n_bytes",
         F.aggregate(removed, F.lit(0).cast("long"), lambda t, x: t + x["e"] - x["s"]).alias("n_removed"),
         F.size(removed).cast("long").alias("n_spans"),
-        F.when(whole, nothing).otherwise(F.coalesce("kept", "class")).alias("kept_sha256"),
+        F.when(whole, nothing).otherwise(F.coalesce("kept", F.lower(F.hex("class")))).alias("kept_sha256"),
+        F.when(several & (F.col("n_bytes") >= window), 1).otherwise(F.coalesce("told", F.lit(0))).cast("long").alias("n_passages"),
         removed.alias("removed"),
     )
