@@ -72,10 +72,13 @@ def test_reordered_passages_blocks_and_odd_rows(spark, monkeypatch):
     items = [(k, text(40)) for k in range(30)] + [(30, None), (31, ""), (32, "tiny item"), (None, text(20)), (3, text(30))]
     moved = items[3][1].split()
     rows = [(1, text(50) + " " + " ".join(moved[25:] + moved[:25]) + " " + text(30), 7), (2, text(200), 7), (3, None, 7), (4, "", 7), (5, "A TINY, item!", 7), (None, items[-2][1], 7), (6, " ".join(items[8][1].split()[:12]) + text(90), 7), (7, text(60_000) + " " + items[9][1].upper(), 7), (7, text(60), 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, coverage int")
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, coverage int, row int, `a.b` int, `__item` int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (decontaminate.BLOCK, 600):
+    results = []
+    for block in (decontaminate.BLOCK, 600, 100):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
+        results.append(sorted(map(str, decontaminate.scan(docs, bench).collect())))
+        assert results[0] == results[-1]
         got = [(r.doc_id, r.item_id) for r in decontaminate.scan(docs, bench).collect() if r.contaminated]
         assert sorted(got, key=str) == sorted([(1, 3), (5, 32), (None, None), (7, 9)], key=str)
         kept = decontaminate.clean(docs, bench)
@@ -83,3 +86,13 @@ def test_reordered_passages_blocks_and_odd_rows(spark, monkeypatch):
     assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.scan(docs.limit(0), bench).count() == 0
     assert len(decontaminate.word_hashes(pa.array(["a-b c", None]))[0]) == 3
+
+
+def test_ties_go_to_the_least_item_whatever_the_blocks(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(40))
+    items = [(k, f"{text} own{k}") for k in (5, 2, 9, 7)] + [(2, f"{text} again"), (None, f"{text} none")]
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "w1 w2 w3 w4 alone")], "doc_id long, text string")
+    for block in (decontaminate.BLOCK, 300, 50):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        got = {r.doc_id: (r.item_id, r.n_tiles, r.contaminated) for r in decontaminate.scan(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert got == {1: (2, 1, True), 2: (None, 0, False)}

@@ -63,6 +63,7 @@ def test_query_against_brute_force(spark):
 
 def test_chains_groups_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(nearup, "BLOCK", 7)
+    monkeypatch.setattr(nearup, "PAIRS", 3)
     rng = random.Random(3)
     words = [f"w{k}" for k in range(400)]
     rows = [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (None, "one two"), (1005, "one two"), (1006, "É É É É"), (1007, "é é é é"), (5, "x " * 50_000)]
@@ -93,3 +94,20 @@ def test_estimates_follow_similarity():
         y = np.concatenate([x[:keep], rng.integers(0, 2**63, 1000 - keep, dtype=np.int64).astype(np.uint64)])
         one, two = (np.frombuffer(nearup.pack(nearup.minima(s)), np.uint8) for s in (x, y))
         assert abs(nearup.estimate(one, two[None])[0] - keep / (2000 - keep)) < 0.16
+
+
+def test_frequent_keys_go_either_way(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*words[:200], f"own{k}"])) for k in range(150)] + [(900, " ".join(words[100:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1, 10**9):
+        monkeypatch.setattr(common, "HOT", hot)
+        same(nearup.dedup(docs).collect(), brute(rows))
+
+
+def test_survivors_with_any_column_names(spark):
+    rows = [(1, "a b c d e f", 2, 5, 6, {"x": 1}), (1, "a b c d e f", 1, 5, 6, {"x": 1}), (2, "a b c d e f", 0, 5, 6, None), (None, None, 3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `__key` int, row int, `c``d` map<string,int>")
+    left = nearup.survivors(docs)
+    assert left.schema.names == docs.schema.names
+    assert sorted((str(r.doc_id), r["a.b"]) for r in left.collect()) == [("1", 1), ("None", 3)]

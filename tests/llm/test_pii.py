@@ -35,6 +35,7 @@ def test_query_against_brute_force(spark, sf_dir):
     for d in common.documents(spark, sf_dir).collect():
         want = brute(d.text or "")
         assert got[d.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert got[d.doc_id].n_spans == len(list(filter(None, got[d.doc_id].spans.split(","))))
         assert set(filter(None, want.split(","))) <= set(got[d.doc_id].spans.split(","))
 
 
@@ -64,3 +65,14 @@ def test_candidates_do_not_depend_on_the_rest_of_the_text():
     for text in ('password = "qWertZuioPasdFghjK"', "key = " + "aB3" * 200, "mail jo at host[DOT]org", "mail jo at host (DOT) org", "fe:ab:cd:ef:aa:bb:cc:dd"):
         own = pii.candidates(text)
         assert len(own) == 1 and pii.candidates(text + " on 7 dot days") == own, text
+
+
+def test_many_spans_do_not_overlap_and_base_spans_stay():
+    rng = random.Random(2)
+    one = lambda: rng.choice(['token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"', "tel (555) 123-4567", "me@host.org", "10.0.0.1", "4485275742308327", "ssn 123-45-6789"])
+    text = " and ".join(one() for _ in range(5000))
+    fixed, found = pii.spans(text)
+    assert set(fixed) <= set(found) and len(found) > len(fixed) + 1000
+    added = [s for s in found if s not in set(fixed)]
+    ranges = sorted([*added, *[(*r, "base") for r in pii.covered(fixed)]])
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))

@@ -30,10 +30,22 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns as one, named row, so that working columns clash with none of theirs, whatever their names."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="wavecairn-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -50,6 +62,12 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def kept(view: DataFrame, table: DataFrame) -> DataFrame:
+    """A view of a stored table, to be removed as that is."""
+    view._stored_at = table._stored_at
+    return view
+
+
 def dropped(table: DataFrame) -> None:
     """Removes a stored table that is read no more."""
     spark = table.sparkSession

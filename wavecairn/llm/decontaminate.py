@@ -8,10 +8,11 @@ sentences were moved around is covered like one copied whole. A document is cont
 item's words in tiles reaches COVER.
 
 The benchmark is taken in blocks of at most BLOCK bytes of text, each sent to all tasks; a larger benchmark
-makes more passes over the documents, never a larger broadcast. Items with fewer than LEAST words must occur
-whole. Null and empty texts are clean; null or wordless items match nothing; of repeated item_ids each text
-counts. Words are lowered A-Z and stripped of punctuation. Rows are independent: repeated rows give repeated
-results, an empty table or benchmark gives no contamination.
+makes more passes over the documents, never a larger broadcast (an item is not divided: one longer than BLOCK is a
+block). Items with fewer than LEAST words must occur whole. Equal coverage goes to the least item_id (nulls last),
+then to fewer tiles, whatever the blocks. Null and empty texts are clean; null or wordless items match nothing; of
+repeated item_ids each text counts. Words are lowered A-Z and stripped of punctuation. Columns may have any names.
+Rows are independent: repeated rows give repeated results, an empty table or benchmark gives no contamination.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
@@ -169,18 +171,20 @@ class Items:
             item = self.words[k]
             if np.isin(runs(doc, len(item)), runs(item, len(item))).any():
                 found.append((1.0, self.ids[k], 1))
-        return max(found, key=lambda f: (f[0], f[1] is not None, -(f[1] or 0)), default=(0.0, None, 0))
+        return max((f for f in found if f[0]), key=lambda f: (f[0], f[1] is not None, -(f[1] or 0), -f[2]), default=(0.0, None, 0))
 
 
-def _tiled(docs: DataFrame, block: Items) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK bytes of text and its hashes
+def _tiled(rows: DataFrame, block: Items, text: int) -> DataFrame:
+    """rows(row, best): best becomes the most covered item of this block. text: which field of row is the text."""
+    held = rows.sparkSession.sparkContext.broadcast(block)  # at most BLOCK bytes of text and its hashes
+    kinds = [pa.float64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                hashed, by_row = word_hashes(part.column("text"))
+                hashed, by_row = word_hashes(pc.struct_field(part.column("row"), [text]))
                 place, seed = items.seeds(hashed)
                 a, b = np.searchsorted(place, by_row[:-1]), np.searchsorted(place, by_row[1:] - (SEED - 1))
                 out = []
@@ -190,24 +194,21 @@ def _tiled(docs: DataFrame, block: Items) -> DataFrame:
                         out.append(items.best(hashed[by_row[r] : by_row[r + 1]], place[own] - by_row[r], seed[own]))
                     else:
                         out.append((0.0, None, 0))
-                extra = pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*part.schema.names, "__coverage", "__item", "__tiles"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], [*part.schema.names, *_FOUND])
 
-    return docs.mapInArrow(run, _with(docs))
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("coverage", DoubleType()).add("item", LongType()).add("tiles", LongType()))
 
 
-def _with(docs: DataFrame) -> StructType:
-    schema = StructType(list(docs.schema.fields))
-    return schema.add("__coverage", DoubleType()).add("__item", LongType()).add("__tiles", LongType())
+_FOUND = ["coverage", "item", "tiles"]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The benchmark in blocks of bounded size, one at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.octet_length("text")).alias("m")).first()
-    count = -(-2 * (size["n"] or 0) // BLOCK)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = -(-2 * size // BLOCK)
     if count <= 1:
-        parts = [rows.orderBy("item_id", "text")] if size["n"] else []
+        parts = [rows.orderBy("item_id", "text")] if size else []
     else:
         key = F.pmod(F.xxhash64("text"), F.lit(count))
         parts = [rows.where(key == k).orderBy("item_id", "text") for k in range(count)]
@@ -218,28 +219,26 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 
 def covered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with __coverage, __item and __tiles of the most covered item over all blocks."""
-    out = None
+    """row (the columns of docs), coverage, item and tiles of the most covered item over all blocks."""
+    out, text = common.packed(docs), docs.columns.index("text")
+    least = [F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item"), F.lit(0).cast("long").alias("tiles")]
+    before = F.struct(*least)
     for block in _blocks(benchmark):
-        if out is None:
-            out = _tiled(docs, block)
-        else:
-            names = ["__coverage", "__item", "__tiles"]
-            held = out.select(*docs.columns, F.struct(*names).alias("__before"))
-            more = _tiled(held, block)
-            better = F.col("__coverage") > F.col("__before.__coverage")
-            out = more.select(*docs.columns, *[F.when(better, F.col(n)).otherwise(F.col(f"__before.{n}")).alias(n) for n in names])
-    if out is None:
-        out = docs.withColumns({"__coverage": F.lit(0.0), "__item": F.lit(None).cast("long"), "__tiles": F.lit(0).cast("long")})
-    return out
+        more = _tiled(out.select("row", before.alias("before")), block, text)
+        # the rule of Items.best, over blocks
+        rank = lambda s: F.struct(s("coverage"), s("item").isNotNull(), -F.coalesce(s("item"), F.lit(0)), -s("tiles"))
+        better = rank(F.col) > rank(lambda n: F.col(f"before.{n}"))
+        out = more.select("row", *[F.when(better, F.col(n)).otherwise(F.col(f"before.{n}")).alias(n) for n in _FOUND])
+        before = F.struct(*_FOUND)
+    return out if "coverage" in out.columns else out.select("row", *least)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """doc_id, contaminated, item_id (most covered), coverage, n_tiles."""
     out = covered(common.texts(docs), benchmark)
-    return out.select("doc_id", (F.col("__coverage") >= cover).alias("contaminated"), F.col("__item").alias("item_id"), F.col("__coverage").alias("coverage"), F.col("__tiles").alias("n_tiles"))
+    return out.select("row.doc_id", (F.col("coverage") >= cover).alias("contaminated"), F.col("item").alias("item_id"), "coverage", F.col("tiles").alias("n_tiles"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """docs without contaminated rows; columns stay."""
-    return covered(docs, benchmark).where(F.col("__coverage") < cover).select(*docs.columns)
+    return common.unpacked(covered(docs, benchmark).where(F.col("coverage") < cover), docs)

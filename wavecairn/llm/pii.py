@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -258,13 +259,26 @@ def spans(text: str | None, trained: dict | None = None) -> tuple[list[Span], li
     trained = trained or model()
     x = np.array([describe(text, s) for s in proposed])
     p = 1 / (1 + np.exp(-(trained["a"] * sum(_value(t, x) for t in trained["trees"]) + trained["b"])))
-    taken = sorted(fixed)
+    added, held = [], covered(fixed)  # disjoint ranges in order
     accepted = sorted((-q, s) for q, s in zip(p.tolist(), proposed, strict=True) if q >= trained["cuts"][s[2]])
     for _, s in accepted:
-        if all(s[1] <= t[0] or t[1] <= s[0] for t in taken):
-            taken.append(s)
+        k = bisect_left(held, (s[0],))
+        if (not k or held[k - 1][1] <= s[0]) and (k == len(held) or s[1] <= held[k][0]):
+            held.insert(k, s[:2])
+            added.append(s)
     order = (*KINDS, *MORE)
-    return fixed, sorted(taken, key=lambda s: (s[0], order.index(s[2]), s[1]))
+    return fixed, sorted(fixed + added, key=lambda s: (s[0], order.index(s[2]), s[1]))
+
+
+def covered(found: list[Span]) -> list[tuple[int, int]]:
+    """The ranges of spans, overlapping ones together, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e, _ in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def joined(found: list[Span]) -> str:
@@ -287,7 +301,7 @@ def redact(text: str, found: list[Span]) -> str:
 
 
 def scan(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """doc_id, counts of the rules' kinds, base_sha256, spans, and the redacted text if keep_text."""
+    """doc_id, counts of the rules' kinds, base_sha256, spans, n_spans, and the redacted text if keep_text."""
     trained = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +312,12 @@ def scan(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 both = [spans(t, trained) for t in given]
                 columns = {"doc_id": part.column("doc_id")}
                 columns |= {f"n_{k}": pa.array([sum(s[2] == k for s in fixed) for fixed, _ in both], pa.int64()) for k in KINDS}
-                columns |= {"base_sha256": [common.sha(joined(fixed).encode()) for fixed, _ in both], "spans": [joined(a) for _, a in both]}
+                columns |= {"base_sha256": [common.sha(joined(fixed).encode()) for fixed, _ in both], "spans": [joined(a) for _, a in both], "n_spans": pa.array([len(a) for _, a in both], pa.int64())}
                 if keep_text:
                     columns["redacted"] = pa.array([None if t is None else redact(t, a) for t, (_, a) in zip(given, both, strict=True)], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return common.texts(docs).mapInArrow(run, schema + ", redacted string" * keep_text)
 
 
