@@ -247,7 +247,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 85) -> tuple[DataFram
     mark = F.xxhash64("class")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 20)).alias("s")).where("members > 1")
     shared = common.stored(shared.groupBy("members", "x", "s").agg(F.min("bucket").alias("bucket"), F.count("*").alias("weight")).select("bucket", F.col("members").alias("times"), "weight"), "shared")
-    held = common.stored(common.met(placed, shared, "bucket", known.count() * BANDS).select("bucket", F.col("times").alias("members"), "weight", "class"), "buckets")
+    # adaptive execution may split this join, since nothing is aggregated behind it
+    held = common.stored(placed.join(shared, "bucket").select("bucket", F.col("times").alias("members"), "weight", "class"), "buckets")
     total = held.count()
     central = held.groupBy("class").agg(F.sum(F.col("members") * F.col("weight")).alias("central"))
     leaders = held.join(central, "class").groupBy("bucket").agg(F.max(F.struct("central", "class")).alias("top"), F.count("*").alias("times"))
