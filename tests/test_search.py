@@ -109,24 +109,60 @@ def test_templates_of_a_channel_in_slices(spark, fixture, monkeypatch):
         assert [r.pos for r in sorted(near, key=lambda r: r.k) if r.tid == k] == nearest(corr[k], 3, 20)
 
 
-def test_index_leaves_blocks_out_of_the_second_pass(spark, monkeypatch):
+def test_an_index_is_built_once_and_reads_few_windows(spark, fixture):
     rng = np.random.default_rng(5)
     shape = np.sin(np.arange(M) / 5)
     x = np.concatenate([np.concatenate([shape + 0.01 * rng.standard_normal(M) for _ in range(8)]), np.tile([1.0, -1.0], 1000) + 0.01 * rng.standard_normal(2000)])
     series = spark.createDataFrame([(c, i, float(v)) for c in "cd" for i, v in enumerate(x)], "channel string, pos long, v double")
     templates = spark.createDataFrame([(0, shape.tolist()), (1, [0.0] * M)], "tid int, v array<double>")
-    counts, real = [], index.candidate_blocks
+    ix = index.build(series, M, 16, 256, leaf_size=20)
+    rows = lambda s, q, k, o: sorted((r.channel, r.tid, r.k, r.pos) for r in search.knn_search(s, q, M, k, o, "auto" if s is ix else "scan", span=256).collect())
+    own = templates.withColumn("channel", search.F.lit("d"))
+    for k, o in ((3, 40), (1, 0), (40, 0), (100, 60)):
+        assert rows(ix, templates, k, o) == rows(series, templates, k, o) and rows(ix, own, k, o) == rows(series, own, k, o)
+    (part,) = search.slices(templates, M)
+    few = ix.postings.join(index.surviving(ix, *part, kernels.cc_to_ed(0.95, M)), ["channel", "leaf"]).agg(search.F.sum(search.F.size("offsets"))).first()[0]
+    assert 0 < few < 0.3 * ix.nodes.agg(search.F.sum("size")).first()[0]
+    hits = lambda s: sorted((r.channel, r.tid, r.pos) for r in search.threshold_search(s, templates, M, 0.9, 10, span=256, strategy="auto" if s is ix else "scan").collect())
+    assert hits(ix) == hits(series)
+    with pytest.raises(ValueError):
+        search.knn_search(ix, templates, 32, 1)
 
-    def counted(held, *rest):
-        out = real(held, *rest)
-        counts.append((out.count(), held.count()))
-        return out
 
-    monkeypatch.setattr(index, "candidate_blocks", counted)
-    rows = lambda s, q: sorted((r.channel, r.tid, r.k, r.pos) for r in search.knn_search(series, q, M, 3, 40, s, span=256).collect())
-    own = templates.withColumn("channel", search.F.lit("d"))
-    assert rows("index", templates) == rows("scan", templates) and rows("index", own) == rows("scan", own)
-    assert len(counts) == 2 and all(0 < few < all_ for few, all_ in counts)
+def test_nodes_are_split_by_spark_first(fixture, monkeypatch):
+    _, _, series, _ = fixture
+    words = index.summaries(search.blocks(series, M, 512), M, 8, 512)
+    plain = sorted(map(str, index.leaves(words, 8, 20).collect()))
+    monkeypatch.setattr(index, "GROUP", 100)
+    assert sorted(map(str, index.leaves(words, 8, 20).collect())) == plain
+
+
+def test_blocks_are_searched_as_they_are(fixture):
+    x, q, series, templates = fixture
+    held = search.blocks(series, M, 512)
+    for strategy in ("scan", "sax", "fft", "index", "sql"):
+        for of in (lambda s: search.threshold_search(s, templates, M, 0.4, 16, 3, strategy, span=512), lambda s: search.knn_search(s, templates, M, 3, 20, strategy, span=512, pad=True)):  # noqa: B023
+            assert sorted(map(str, [(r.tid, r.pos) for r in of(held).collect()])) == sorted(map(str, [(r.tid, r.pos) for r in of(series).collect()]))
+    long = held.where("block = 0").select("channel", "block", "start", search.F.lit(x.tolist()).alias("v"))
+    got = search.threshold_search(long, templates, M, 0.4, 0, 1, "scan", span=1 << 20).collect()
+    corr = oracle(x, q)
+    assert all(sorted(r.pos for r in got if r.tid == k) == merged(corr[k], 0.4, 0) for k in range(len(q)))
+
+
+def test_windows_are_given_up_early():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(3000)
+    view, _ = kernels.windows(x, M)
+    mu, sd = kernels.statistics(view)
+    z = kernels.znorm(x[77 : 77 + M] * np.linspace(0.1, 3, M))
+    order = kernels.energy_order(z)
+    assert sorted(np.concatenate(order)) == list(range(M)) and (z[order[0]] ** 2).sum() >= (z[order[-1]] ** 2).sum()
+    at = np.arange(len(view))
+    ed = (((view - mu[:, None]) / sd[:, None] - z) ** 2).sum(1)
+    for bound in (10.0, 90.0, 120.0):
+        assert kernels.unabandoned(view, at, mu, sd, z, bound).tolist() == np.flatnonzero(ed <= bound).tolist()
+        place, corr = kernels.verified(view, at, mu, sd, z, bound)
+        assert place.tolist() == np.flatnonzero(ed <= bound).tolist() and np.allclose(corr, 1 - ed[place] / (2 * M))
 
 
 def test_padding_and_arguments(fixture):

@@ -12,7 +12,10 @@ from statistics import NormalDist
 
 import numpy as np
 
+# The mark of a missing sample, and the deviation up to which a window is constant.
 SENTINEL, TINY = -100000.0, 1e-12
+#: Samples that are compared before a window may be given up.
+STRIDE = 32
 #: Doubles that a kernel holds at once for centred windows.
 ROOM = 1 << 21
 SYMBOLS = 256
@@ -162,16 +165,49 @@ def matches(samples: np.ndarray, z: np.ndarray, bound: np.ndarray, strategy: str
             close = (dots + slack + 1e-12) / (m * sd[:, None]) >= least - 1e-9
     else:
         raise ValueError(f"no such strategy: {strategy}")
-    i, j = np.nonzero(close & valid[:, None] & ~np.isnan(z).any(1))
-    corr = np.empty(len(i))
-    for k in np.unique(j):
-        at = np.flatnonzero(j == k)
-        for lo in range(0, len(at), max(1, ROOM // m)):
-            p = at[lo : lo + max(1, ROOM // m)]
-            w = i[p]
-            corr[p] = np.clip((view[w] - mu[w, None]) @ z[k] / (m * sd[w]), -1, 1)
-    keep = corr >= least[j]
-    return i[keep], j[keep], corr[keep]
+    close &= valid[:, None] & ~np.isnan(z).any(1)
+    found = []
+    for k in range(len(z)):
+        at = np.flatnonzero(close[:, k])
+        place, corr = verified(view, at, mu[at], sd[at], z[k], float(np.asarray(bound)[k]))
+        found.append((place, np.full(len(place), k), corr))
+    i, j, corr = (np.concatenate(c) for c in zip(*found, strict=True))
+    return i, j, corr
+
+
+def energy_order(z: np.ndarray, stride: int = STRIDE) -> list[np.ndarray]:
+    """The samples of a template in runs of `stride`, the runs with most energy first."""
+    runs = [np.arange(lo, min(len(z), lo + stride)) for lo in range(0, len(z), stride)]
+    return sorted(runs, key=lambda r: (-float((z[r] ** 2).sum()), int(r[0])))
+
+
+def unabandoned(view: np.ndarray, at: np.ndarray, mu: np.ndarray, sd: np.ndarray, z: np.ndarray, bound: float) -> np.ndarray:
+    """Which windows stay within the bound while their distance is summed run by run; the others are given up early."""
+    live = np.arange(len(at))
+    total = np.zeros(len(at))
+    for run in energy_order(z):
+        lo, hi = int(run[0]), int(run[-1]) + 1
+        part = (view[at[live], lo:hi] - mu[live, None]) / sd[live, None] - z[lo:hi]
+        total[live] += (part**2).sum(1)
+        live = live[total[live] <= bound * (1 + 1e-9) + 1e-6]
+        if not len(live):
+            break
+    return live
+
+
+def verified(view: np.ndarray, at: np.ndarray, mu: np.ndarray, sd: np.ndarray, z: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows at these places (with their statistics) those within the bound, and their correlations."""
+    m = view.shape[1]
+    places, corrs = [], []
+    for lo in range(0, len(at), max(1, ROOM // m)):
+        part = slice(lo, lo + max(1, ROOM // m))
+        live = unabandoned(view, at[part], mu[part], sd[part], z, bound) + lo
+        if len(live):
+            corr = np.clip((view[at[live]] - mu[live, None]) @ z / (m * sd[live]), -1, 1)
+            keep = corr >= ed_to_cc(bound, m)
+            places.append(at[live][keep])
+            corrs.append(corr[keep])
+    return (np.concatenate(places), np.concatenate(corrs)) if places else (np.zeros(0, np.int64), np.zeros(0))
 
 
 def separated(order: np.ndarray, k: int, offset: int) -> list[int]:

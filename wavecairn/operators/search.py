@@ -1,9 +1,11 @@
 """Exact subsequence similarity search as DataFrame plans.
 
-``knn_search`` and ``threshold_search`` take series(channel, pos, v) and templates(tid, v), or templates(channel,
-tid, v) that are looked for in their own channel only, and return ordinary DataFrames. Samples are grouped into blocks that overlap by a window less one, so every window lies in one block and
-matching needs no further exchange; templates reach the kernels in slices of bounded size. Ordered folds
-run in the JVM over islands of hits that cannot influence each other.
+``knn_search`` and ``threshold_search`` take series(channel, pos, v), blocks(channel, block, start, v), or an
+``index.Index`` built before, and templates(tid, v), or templates(channel, tid, v) that are looked for in their own
+channel only, and return ordinary DataFrames. Samples are grouped into blocks that overlap by a window less one, so
+every window lies in one block and matching needs no further exchange; blocks that are stored or read as such need
+none at all. Templates reach the kernels in slices of bounded size. Ordered folds run in the JVM over islands of hits
+that cannot influence each other.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import kernels
+from . import index
+from .index import Index
 
 #: Windows in a block; bytes of templates sent to all tasks at once.
 SPAN, TEMPLATE_BYTES = 4096, 32 << 20
@@ -35,8 +39,24 @@ def check(m: int, segments: int = 16, k: int | None = None, t: float | None = No
         raise ValueError(f"strategy must be one of {STRATEGIES}")
 
 
+def is_blocks(source: DataFrame) -> bool:
+    return {"block", "start", "v"} <= set(source.columns)
+
+
+def samples(source: DataFrame, span: int) -> DataFrame:
+    """channel, pos, v of a series or of blocks; the overlap of blocks counts once."""
+    if not is_blocks(source):
+        return source
+    return source.select("channel", "start", F.posexplode(F.slice("v", 1, span)).alias("j", "v")).select("channel", (F.col("start") + F.col("j")).alias("pos"), "v")
+
+
 def blocks(series: DataFrame, m: int, span: int = SPAN) -> DataFrame:
-    """channel, block, start and samples: block b owns the windows that start in [b*span, (b+1)*span)."""
+    """channel, block, start and samples: block b owns the windows that start in [b*span, (b+1)*span).
+
+    Blocks given as such stay as they are; they must own `span` starts each and overlap by m - 1 samples.
+    """
+    if is_blocks(series):
+        return series.select("channel", "block", "start", F.col("v").cast("array<double>").alias("v"))
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - (m - 1)) / span)).cast("long")
     dealt = series.select("channel", "pos", F.col("v").cast("double").alias("v"), F.explode(F.sequence(first, F.floor(F.col("pos") / span).cast("long"))).alias("block"))
     return (
@@ -85,7 +105,11 @@ def _matched(held: DataFrame, part: Slice, bound: float, strategy: str, segments
                 c, s, x = channel.as_py(), start.as_py(), v.values.to_numpy(zero_copy_only=False)[: span + m - 1]
                 use = np.arange(len(part.ids)) if part.channels is None else np.flatnonzero([o == c for o in part.channels])
                 ids, known = part.ids[use], {r["tid"]: r["ed"] for r in own.as_py() or ()}
-                i, j, corr = kernels.matches(x, part.z[use], np.array([known.get(int(t), bound) for t in ids]), strategy, segments)
+                most = np.array([known.get(int(t), bound) for t in ids])
+                # long blocks are compared piece by piece
+                pieces = [(lo, kernels.matches(x[lo : lo + SPAN + m - 1], part.z[use], most, strategy, segments)) for lo in range(0, max(1, len(x) - m + 1), SPAN)]
+                i = np.concatenate([a + lo for lo, (a, _, _) in pieces])
+                j, corr = (np.concatenate([p[k] for _, p in pieces]) for k in (1, 2))
                 if top and len(i):
                     k, o = top
                     keep = []
@@ -150,27 +174,27 @@ def merged(hits: DataFrame, o: int, groups: list[str]) -> DataFrame:
     return hits.withColumn("counter", counter.cast("long"))
 
 
-def threshold_search(series: DataFrame, templates: DataFrame, m: int, t: float, o: int = 0, groups: int = 1, strategy: str = "auto", segments: int = 16, span: int = SPAN) -> DataFrame:
+def threshold_search(series: DataFrame | Index, templates: DataFrame, m: int, t: float, o: int = 0, groups: int = 1, strategy: str = "auto", segments: int = 16, span: int = SPAN) -> DataFrame:
     """channel, tid, part, counter, pos, corr of all windows with correlation of t at least, merged by o within each of `groups` equal ranges of starts."""
+    source, strategy, segments, span, ix = _prepared(series, m, strategy, segments, span)
     check(m, segments, t=t, o=o, groups=groups, strategy=strategy)
+    bound = kernels.cc_to_ed(t, m)
     if strategy == "auto":
         from ..plans.planner import choose
 
-        strategy = choose(series, templates, m, bound=kernels.cc_to_ed(t, m), segments=segments, span=span)
+        strategy = choose(source, templates, m, bound=bound, segments=segments, span=span)
     if strategy == "sql":
-        hits = by_sql(series, templates, m).where(F.col("corr") >= t)
+        hits = by_sql(samples(source, span), templates, m).where(F.col("corr") >= t)
+    elif strategy == "index":
+        ix = ix or index.build(source, m, segments, span)
+        parts = [index.refined(ix, index.surviving(ix, *p, bound), p.ids, p.z, bound) for p in slices(templates, m)]
+        hits = _united(parts, source.sparkSession)
     else:
-        held = blocks(series, m, span)
-        bound = kernels.cc_to_ed(t, m)
-        if strategy == "index":
-            from .index import candidate_blocks
-
-            parts = [_matched(candidate_blocks(held, p.z, bound, segments, span), p, bound, "sax", segments, span) for p in slices(templates, m)]
-        else:
-            parts = [_matched(held, p, bound, strategy, segments, span) for p in slices(templates, m)]
-        hits = _united(parts, series.sparkSession)
+        held = blocks(source, m, span)
+        hits = _united([_matched(held, p, bound, strategy, segments, span) for p in slices(templates, m)], source.sparkSession)
     if groups > 1:
-        length = series.groupBy("channel").agg((F.max("pos") + 1).alias("__n"))
+        last = F.max(F.col("start") + F.size("v")) if is_blocks(source) else F.max("pos") + 1
+        length = source.groupBy("channel").agg(last.alias("__n"))
         width = F.greatest(F.lit(1), F.floor(F.col("__n") / groups))
         hits = hits.join(length, "channel").withColumn("part", F.least(F.lit(groups - 1), F.floor(F.col("pos") / width)).cast("int")).drop("__n")
     else:
@@ -178,6 +202,15 @@ def threshold_search(series: DataFrame, templates: DataFrame, m: int, t: float,
     return merged(hits, o, ["part"]).select("channel", "tid", "part", "counter", "pos", "corr")
 
 
+def _prepared(series: DataFrame | Index, m: int, strategy: str, segments: int, span: int):
+    """The blocks or samples of a source, and what an index settles."""
+    if not isinstance(series, index.Index):
+        return series, strategy, segments, span, None
+    if series.m != m:
+        raise ValueError(f"the index holds windows of {series.m} samples")
+    return series.held, "index" if strategy == "auto" else strategy, series.segments, series.span, series
+
+
 def excluded(ranked: DataFrame, k: int, o: int) -> DataFrame:
     """Walks candidates by (corr descending, pos) and keeps those o apart from all kept ones, k at most, as (rank, pos, corr)."""
 
@@ -201,57 +234,55 @@ def _best(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("k", F.row_number().over(order).cast("long")).where(F.col("k") <= n)
 
 
-def _bounds(limits: DataFrame, held: DataFrame, part: Slice, most: float) -> np.ndarray:
-    """The widest limit of each template over its channels; `most` if a channel has none."""
-    rows = limits.groupBy("tid", *(["channel"] if part.channels is not None else [])).agg(F.max("ed").alias("ed"), F.count("*").alias("n")).collect()  # a slice's templates at most
-    if part.channels is not None:
-        known = {(r["channel"], r["tid"]): r["ed"] for r in rows}
-        return np.array([known.get((c, int(t)), most) for c, t in zip(part.channels, part.ids, strict=True)])
-    channels = held.select("channel").distinct().count()
-    known = {r["tid"]: r["ed"] for r in rows if r["n"] == channels}
-    return np.array([known.get(int(t), most) for t in part.ids])
+def _limits(apart: DataFrame, wanted: int, m: int) -> DataFrame:
+    """channel, tid, ed: the distance of the last of so many separated windows; no row where there are fewer."""
+    enough = apart.groupBy("channel", "tid").agg(F.count("*").alias("n"), F.min("corr").alias("corr")).where(F.col("n") == wanted)
+    return enough.select("channel", "tid", (2.0 * m * (1 - F.col("corr")) + 1e-9).alias("ed"))
 
 
-def knn_search(series: DataFrame, templates: DataFrame, m: int, k: int, o: int = 0, strategy: str = "auto", segments: int = 16, span: int = SPAN, pad: bool = False) -> DataFrame:
+def knn_search(series: DataFrame | Index, templates: DataFrame, m: int, k: int, o: int = 0, strategy: str = "auto", segments: int = 16, span: int = SPAN, pad: bool = False) -> DataFrame:
     """channel, tid, k, pos, corr of the k nearest windows of each template, o apart.
 
     A first pass takes the best separated windows of each block; 2k - 1 of them that are o apart bound the
-    k-th distance. A second pass keeps only windows within the bound, so later steps see few rows; `index` compares
-    only blocks with a surviving leaf there. Without an exclusion zone the first pass is the answer.
+    k-th distance. A second pass keeps only windows within the bound, so later steps see few rows. Without an
+    exclusion zone the first pass is the answer. With an index the first pass reads only each template's own leaf and
+    the next ones by lower bound, as many as must hold 2k - 1 separated windows, the second only the leaves within the bound.
     """
+    source, strategy, segments, span, ix = _prepared(series, m, strategy, segments, span)
     check(m, segments, k=k, o=o, strategy=strategy)
     if strategy == "auto":
         from ..plans.planner import choose
 
-        strategy = choose(series, templates, m, bound=None, segments=segments, span=span)
+        strategy = choose(source, templates, m, bound=None, segments=segments, span=span, k=k)
+    wanted = 2 * k - 1 if o else k
     if strategy == "sql":
-        hits = by_sql(series, templates, m)
+        hits = by_sql(samples(source, span), templates, m)
+    elif strategy == "index":
+        ix = ix or index.build(source, m, segments, span)
+        parts = []
+        for part in slices(templates, m):
+            ids, z, _ = part
+            seeds = index.refined(ix, index.seeded(ix, *part, candidate_limit(wanted, o)), ids, z, 4.0 * m)
+            best = _best(seeds, candidate_limit(wanted, o))
+            rows = _limits(excluded(best, wanted, o) if o else best.where(F.col("k") <= k), wanted, m).collect()  # a row for each template of a slice and channel
+            limits = {(r["channel"], r["tid"]): r["ed"] for r in rows}
+            parts.append(index.refined(ix, index.surviving(ix, *part, 4.0 * m, limits), ids, z, 4.0 * m, limits))
+        hits = _united(parts, source.sparkSession)
     else:
-        held = blocks(series, m, span)
+        held = blocks(source, m, span)
         parts = []
         for part in slices(templates, m):
-            wanted = 2 * k - 1 if o else k
-            seeds = _matched(held, part, 4.0 * m, "scan" if strategy in ("sax", "index") else strategy, segments, span, top=(wanted, o))
+            seeds = _matched(held, part, 4.0 * m, "scan" if strategy == "sax" else strategy, segments, span, top=(wanted, o))
             seeds = _best(seeds, candidate_limit(wanted, o))
-            apart = excluded(seeds, wanted, o) if o else seeds
             if not o:  # the best k of each block hold the answer
                 parts.append(seeds.select("channel", "tid", "pos", "corr"))
                 continue
-            enough = apart.groupBy("channel", "tid").agg(F.count("*").alias("n"), F.min("corr").alias("corr")).where(F.col("n") == wanted)
-            limits = enough.select("channel", "tid", (2.0 * m * (1 - F.col("corr")) + 1e-9).alias("ed"))
-            within = held
-            if strategy == "index":
-                from ..sources.series import stored
-                from .index import candidate_blocks
-
-                limits = stored(limits, "limits")
-                within = candidate_blocks(held, part.z, _bounds(limits, held, part, 4.0 * m), segments, span)
-            parts.append(_matched(within, part, 4.0 * m, "sax" if strategy == "index" else strategy, segments, span, limits=limits))
-        hits = _united(parts, series.sparkSession)
+            parts.append(_matched(held, part, 4.0 * m, strategy, segments, span, limits=_limits(excluded(seeds, wanted, o), wanted, m)))
+        hits = _united(parts, source.sparkSession)
     best = _best(hits, candidate_limit(k, o))
     out = (excluded(best, k, o) if o else best).select("channel", "tid", "k", "pos", "corr")
     if pad:
-        names, tids = series.select("channel").distinct(), templates.drop("v").withColumn("tid", F.col("tid").cast("int"))
+        names, tids = source.select("channel").distinct(), templates.drop("v").withColumn("tid", F.col("tid").cast("int"))
         slots = (names.join(tids, "channel") if "channel" in tids.columns else names.crossJoin(tids)).select("channel", "tid", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("k"))
         out = slots.join(out, ["channel", "tid", "k"], "left").select("channel", "tid", "k", "pos", "corr")
     return out

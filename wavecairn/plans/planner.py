@@ -16,27 +16,39 @@ INDEX_FRACTION, BOUND_FRACTION, FFT_SHARE = 0.01, 0.05, 0.9
 SAMPLE, SCAN_COST, FFT_COST = 65_536, 1.0, 24.0
 
 
-def decide(series: DataFrame, templates: DataFrame, m: int, bound: float | None, segments: int = 16, span: int = SPAN) -> dict:
-    """The sampled pass fraction of lower bounds, the costs, and the strategy they lead to."""
+def decide(series: DataFrame, templates: DataFrame, m: int, bound: float | None, segments: int = 16, span: int = SPAN, k: int | None = None) -> dict:
+    """The sampled pass fraction of lower bounds, the costs, and the strategy they lead to.
+
+    Without a bound, that of a template is its k-th least distance in the sample, which the true one does not exceed.
+    """
     points = span + m - 1
     scan = SCAN_COST * m
     fft = FFT_COST * np.log2(max(2, points)) * points / span
     fraction = None
-    if bound is not None and m % segments == 0:
+    if (bound is not None or k is not None) and m % segments == 0:
         held = blocks(series, m, span)
-        count = max(1, held.count())
-        every = max(1, count * span // SAMPLE)
-        some = held.where(F.pmod(F.xxhash64("channel", "block"), F.lit(every)) == 0).limit(max(1, SAMPLE // span))
+        most = max(1, SAMPLE // span)
+        some = held.orderBy(F.xxhash64("channel", "block")).limit(most)
         first = next(slices(templates, m), None)
-        passed = total = 0
+        own, near = [], []
         for row in some.toLocalIterator():  # a bounded sample of blocks
-            view, start = kernels.windows(np.array(row["v"]), m)
+            view, start = kernels.windows(np.array(row["v"])[: span + m - 1], m)
             if len(view) and first is not None:
                 mu, sd = kernels.statistics(view)
-                words = kernels.words(view, mu, sd, segments)[start & (sd > kernels.TINY)]
-                for q in kernels.paa(first.z, segments):
-                    passed += int((kernels.lower_bound(q, words, m) <= bound).sum())
-                    total += len(words)
+                valid = start & (sd > kernels.TINY)
+                own.append(kernels.words(view[valid], mu[valid], sd[valid], segments))
+                if bound is None:
+                    near.append(kernels.cc_to_ed(kernels.correlations(view[valid], first.z, mu[valid], sd[valid]), m))
+        passed = total = 0
+        if own:
+            words = np.concatenate(own)
+            each = np.concatenate(near) if near else None
+            for g, q in enumerate(kernels.paa(first.z, segments)):
+                if np.isnan(q).any() or not len(words):
+                    continue
+                limit = bound if each is None else np.partition(each[:, g], min(k, len(words)) - 1)[min(k, len(words)) - 1]
+                passed += int((kernels.lower_bound(q, words, m) <= limit).sum())
+                total += len(words)
         fraction = passed / total if total else 1.0
     if fraction is not None and fraction <= INDEX_FRACTION:
         strategy = "index"
@@ -47,8 +59,8 @@ def decide(series: DataFrame, templates: DataFrame, m: int, bound: float | None,
     return {"fraction": fraction, "scan_cost": float(scan), "fft_cost": float(fft), "strategy": strategy}
 
 
-def choose(series: DataFrame, templates: DataFrame, m: int, bound: float | None, segments: int = 16, span: int = SPAN) -> str:
-    return decide(series, templates, m, bound, segments, span)["strategy"]
+def choose(series: DataFrame, templates: DataFrame, m: int, bound: float | None, segments: int = 16, span: int = SPAN, k: int | None = None) -> str:
+    return decide(series, templates, m, bound, segments, span, k)["strategy"]
 
 
 def decision(series: DataFrame, templates: DataFrame, m: int, bound: float | None, segments: int = 16, span: int = SPAN) -> DataFrame:
