@@ -198,3 +198,21 @@ def test_leaves_hold_all_windows(fixture):
     assert sum(r["size"] for r in nodes) == words.count() and len({(r.root, r.prefix, r.bits) for r in nodes}) == len(nodes)
     split = [r for r in nodes if sum(r.bits) < 64]
     assert all(r["size"] <= 50 for r in split)
+
+
+def test_switches_change_the_plan_not_the_rows(spark, fixture):
+    from wavecairn.config import Switches
+    from wavecairn.plans import planner
+
+    _, _, series, templates = fixture
+    ix = index.build(series, M, 16, 512)
+    rows = lambda: sorted((r.tid, r.k, r.pos) for r in search.knn_search(ix, templates, M, 3, 16).collect())
+    want = rows()
+    try:
+        Switches(fft=False, seed=False).apply(spark)
+        assert rows() == want
+        assert planner.choose(series, templates, M, None, span=512, k=3) != "fft"
+        Switches(index_fraction=1.0).apply(spark)
+        assert planner.choose(series, templates, M, None, span=512, k=3) == "index"
+    finally:
+        Switches().apply(spark)

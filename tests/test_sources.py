@@ -92,10 +92,66 @@ def test_agreement_and_tolerance(spark):
     a = spark.createDataFrame([(0, 10, 0.9), (0, 30, 0.50005), (1, 5, 0.8), (2, 1, 0.7)], "query int, pos long, corr double")
     b = spark.createDataFrame([(0, 10, 0.9), (1, 6, 0.8), (2, 1, 0.7)], "query int, pos long, corr double")
     assert {r.query: r.verdict for r in evaluate.agreement(a, b, 0.5, 4).collect()} == {0: "boundary", 1: "different", 2: "same"}
+    # a common hit explains nothing: only detections of one side form chains
+    c = spark.createDataFrame([(0, 10, 0.50001), (0, 13, 0.9)], "query int, pos long, corr double")
+    assert [r.verdict for r in evaluate.agreement(c, c.where("pos = 10"), 0.5, 4).collect()] == ["different"]
+    assert [r.verdict for r in evaluate.agreement(c, c.limit(0), 0.5, 4).collect()] == ["boundary"]
+    n = spark.createDataFrame([(0, 1, 5, 0.9), (1, 1, 5, 0.9), (2, 1, 5, 0.9), (3, 1, 5, 0.9)], "query int, k long, pos long, corr double")
+    o = spark.createDataFrame([(0, 1, 5, 0.9), (1, 1, 6, 0.90001), (2, 1, 6, 0.8)], "query int, k long, pos long, corr double")
+    assert {r.query: r.verdict for r in evaluate.neighbour_agreement(n, o).collect()} == {0: "same", 1: "tie", 2: "different", 3: "different"}
     assert sorted(tuple(r) for r in evaluate.tolerant_matches(a, b, 2).collect()) == [(0, 10, 10), (1, 5, 6), (2, 1, 1)]
     assert evaluate.symmetric_difference(a.select("query", "pos"), b.select("query", "pos")).count() == 3
 
 
+def test_evenly_spaced_cases(spark):
+    cases = spark.createDataFrame([(k, k * 10) for k in range(10)], "key long, samples long")
+    keys = lambda *a, **b: sorted(r.key for r in evaluate.evenly_spaced(cases, *a, **b).collect())
+    assert keys(1) == [5] and keys(0) == keys(10) == keys(99) == list(range(10)) and keys(3) == [0, 4, 9] and keys(2, least=45) == [5, 9] and keys(1, least=1000) == []
+
+
+def test_writers_and_counters(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(3000)
+    series = spark.createDataFrame([("c", k, float(v)) for k, v in enumerate(x)], "channel string, pos long, v double").repartition(4)
+    path = str(tmp_path / "w.bin")
+    assert raw.write_float32(series, path, span=700) == 3000 and np.array_equal(np.fromfile(path, "<f4"), x.astype("<f4"))
+    templates = S.cut(series, [5, 100, 700], 32)
+    assert raw.write_templates(templates, path, 32, many=2) == 3
+    assert [r.v for r in raw.read_templates(spark, path, 32).orderBy("tid").collect()] == [x[s : s + 32].astype("<f4").tolist() for s in (5, 100, 700)]
+    with pytest.raises(Exception, match="another length"):
+        raw.write_templates(templates, path, 31)
+    counters = results.Counters()
+    counters.watch(series, samples=search.F.count("*"), loud=search.F.count_if(search.F.col("v") > 100)).write.format("noop").mode("overwrite").save()
+    assert {r.name: r["count"] for r in counters.table(spark).collect()} == {"samples": 3000, "loud": 0}
+
+
+def test_bandpass_against_the_recursion_whatever_the_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(5000)
+    series = spark.createDataFrame([(c, k, float(v)) for c in "ab" for k, v in enumerate(x)], "channel string, pos long, v double")
+    sections, pad = etl._sections(1, 10, 50, 4), np.zeros(4000)
+    want = etl._recursive(etl._recursive(np.concatenate([pad, x, pad]), sections)[::-1], sections)[::-1][4000:-4000]
+    for span in (300, 4096):
+        got = etl.bandpass(series, 1, 10, 50, span=span).orderBy("channel", "pos").collect()
+        assert [(r.channel, r.pos) for r in got] == [(c, k) for c in "ab" for k in range(5000)]
+        assert np.abs(np.array([r.v for r in got]).reshape(2, -1) - want).max() < 1e-6
+
+
+def test_generation_and_reproducible_noise(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    series = spark.createDataFrame([(c, k, float(v)) for c in ("N.S.HHZ", "N.S.HHN") for k, v in enumerate(rng.standard_normal(2000))], "channel string, pos long, v double")
+    told = {r.channel: r for r in etl.generate(series, str(tmp_path), 50, 1, 10, 2, "d").collect()}
+    assert told["N.S.HHZ"].number_of_points == 1000 and told["N.S.HHZ"].frequency.sampling_rate_hz == 25
+    want = [r.v for r in etl.prepared(series, 50, 1, 10, 2).where("channel = 'N.S.HHN'").orderBy("pos").collect()]
+    assert np.allclose(np.fromfile(tmp_path / "N.S.HHN.len1000.bin", "<f4"), want, atol=1e-5)
+    assert results.read_metadata(spark, str(tmp_path / "metadata")).count() == 2
+    gaps = spark.createDataFrame([("a", 0.0, 1.0), ("a", 30000.0, 3.0), ("b", 4.0, 2.0)], "channel string, ts double, v double")
+    rows = lambda n: sorted(map(tuple, etl.gap_fill(gaps.repartition(n), 1.0, seed=3).collect()))
+    assert rows(1) == rows(5)
+    noise = np.array([r[2] for r in rows(2) if r[3]])
+    assert len(noise) == 29999 and abs(noise.mean()) < 0.1 and abs(noise.std() - 3) < 0.1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(5)
     x, m = rng.standard_normal(600), 16
@@ -108,3 +164,35 @@ def test_stream_equals_batch(spark, tmp_path):
     i, j, _ = kernels.matches(x, z, np.full(2, kernels.cc_to_ed(0.5, m)))
     got = [(r.pos, r.tid) for r in spark.sql("select * from hits").collect()]
     assert sorted(got) == sorted(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_tolerant_matches_against_the_plain_rule(spark):
+    rng = np.random.default_rng(12)
+    a, b = ([(int(q), int(p), 0.5) for q in range(3) for p in sorted(rng.choice(600, 150, replace=False))] for _ in range(2))
+    frame = lambda rows: spark.createDataFrame(rows, "query int, pos long, corr double")
+    want = []
+    for q in range(3):
+        free = sorted(p for i, p, _ in b if i == q)
+        for p in sorted(p for i, p, _ in a if i == q):
+            near = [x for x in free if abs(x - p) <= 2]
+            if near:
+                best = min(near, key=lambda x: (abs(x - p), x))
+                free.remove(best)
+                want.append((q, p, best))
+    assert sorted(tuple(r) for r in evaluate.tolerant_matches(frame(a), frame(b), 2).collect()) == want
+
+
+def test_command_line_with_an_index(spark, tmp_path):
+    from wavecairn.__main__ import run
+    from wavecairn.config import parse
+
+    x = np.random.default_rng(1).standard_normal(4000).astype("<f4")
+    wave, cut = str(tmp_path / "w.bin"), str(tmp_path / "t.bin")
+    x.tofile(wave)
+    np.concatenate([x[100:164], x[900:964]]).tofile(cut)
+    found = []
+    for strategy in ("scan", "index"):
+        out = tmp_path / strategy
+        run(spark, parse(["--waveform", wave, "--templates", cut, "--window", "64", "--mode", "knn", "--neighbours", "2", "--merge-offset", "16", "--strategy", strategy, "--span", "1000", "--output", str(out), "--timings", str(out) + ".t"]))
+        found.append(sorted((r.tID, r.k, r.pos) for r in results.read_neighbours(spark, str(out)).collect()))
+    assert found[0] == found[1] and [f for f in found[0] if f[1] == 1] == [(0, 1, 100), (1, 1, 900)]

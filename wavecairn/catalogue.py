@@ -13,6 +13,7 @@ from .functions import expressions as X
 from .functions import kernels
 from .operators import etl, evaluate, index, search, vectors
 from .plans import planner
+from .sources import results
 from .sources import series as S
 
 M, STARTS = 64, (100, 400, 700)
@@ -32,6 +33,22 @@ def _both(spark, d, m=M):
     return s, S.cut(s, list(STARTS), m)
 
 
+_INDEXES: dict = {}
+
+
+def _index(spark, d):
+    """The index of the events, built once a session and read by every query that uses one."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build(_events(spark, d), M, 16)
+    return _INDEXES[key]
+
+
+def _indexed(spark, d):
+    ix = _index(spark, d)
+    return ix, S.cut(search.samples(ix.held, ix.span), list(STARTS), M)
+
+
 def _hits(found):
     return found.select(F.col("tid").cast("long").alias("tid"), F.col("part").cast("long").alias("part"), "counter", "pos", _r("corr").alias("corr"))
 
@@ -111,13 +128,15 @@ _add("threshold_merged", _threshold("scan", o=O), _sql_threshold(o=O))
 _add("threshold_partitioned", _threshold("scan", o=O, groups=7), _sql_threshold(o=O, groups=7))
 _add("threshold_by_sql", _threshold("sql", o=O), _sql_threshold(o=O))
 _add("threshold_sax", _threshold("sax", t=0.4), _sql_threshold(t=0.4))
-_add("threshold_index", _threshold("index", t=0.6), _sql_threshold(t=0.6))
+_add("threshold_index", lambda spark, d: _hits(search.threshold_search(*_indexed(spark, d), M, 0.6)), _sql_threshold(t=0.6))
+_add("threshold_index_tight", lambda spark, d: _hits(search.threshold_search(*_indexed(spark, d), M, 0.9)), _sql_threshold(t=0.9))
 _add("threshold_fft", _threshold("fft"), _sql_threshold())
 _add("threshold_adaptive", _threshold("auto", t=0.9), _sql_threshold(t=0.9))
 _add("knn_plain", _knn("scan"), _sql_knn())
 _add("knn_exclusion", _knn("scan", o=O), _sql_knn(o=O))
 _add("knn_sax_pruned", _knn("sax", o=O), _sql_knn(o=O))
-_add("knn_index", _knn("index", o=O), _sql_knn(o=O))
+_add("knn_index", lambda spark, d: _near(search.knn_search(*_indexed(spark, d), M, K, O)), _sql_knn(o=O))
+_add("knn_index_plain", lambda spark, d: _near(search.knn_search(*_indexed(spark, d), M, K)), _sql_knn())
 _add("knn_fft", _knn("fft", o=O), _sql_knn(o=O))
 _add("knn_adaptive", _knn("auto", o=O), _sql_knn(o=O))
 
@@ -127,7 +146,7 @@ def knn_padded(spark, d):
     return _near(search.knn_search(s, q, M, 5, 200, "scan", pad=True))
 
 
-_add("knn_padded", knn_padded)
+_add("knn_padded", knn_padded, _sql_knn(5, 200).replace(" select tid, cast(len(kept) as bigint) as k", ", f as (select tid, cast(len(kept) as bigint) as k").replace("from g", "from g", 1) + f") select t.tid, k.k, f.pos, f.corr from (select unnest(range({len(STARTS)})) as tid) t cross join (select unnest(range(1, 6)) as k) k left join f on f.tid = t.tid and f.k = k.k")
 
 
 def knn_multi_channel(spark, d):
@@ -246,10 +265,17 @@ def lower_bound(spark, d):
     return words.mapInArrow(run, "tid long, pos long, bound double").select("tid", "pos", _r("bound").alias("bound"))
 
 
-_WORDS = f"""{_PAA}, st as (select pos, avg(v) over f as mu, stddev_pop(v) over f as sd, count(*) over f as n from s window f as (order by pos rows between current row and {M - 1} following)),
- sg as (select pos, {', '.join(f'avg(v) over (order by pos rows between {k * (M // SEG)} following and {(k + 1) * (M // SEG) - 1} following) as a{k}' for k in range(SEG))} from s),
- wd as (select pos, unnest(range({SEG})) as segment, (unnest([{', '.join(f'a{k}' for k in range(SEG))}]) - mu) / sd as value from sg join st using (pos) where n = {M} and sd > 1e-12),
+def _words(seg):
+    """CTEs up to sy(pos, segment, symbol): the words of all windows."""
+    w = M // seg
+    return f"""{_TN}, p as (select cast(tid as bigint) as tid, cast(j // {w} as bigint) as segment, avg(z) as value from tn group by 1, 2),
+ st as (select pos, avg(v) over f as mu, stddev_pop(v) over f as sd, count(*) over f as n from s window f as (order by pos rows between current row and {M - 1} following)),
+ sg as (select pos, {', '.join(f'avg(v) over (order by pos rows between {k * w} following and {(k + 1) * w - 1} following) as a{k}' for k in range(seg))} from s),
+ wd as (select pos, unnest(range({seg})) as segment, (unnest([{', '.join(f'a{k}' for k in range(seg))}]) - mu) / sd as value from sg join st using (pos) where n = {M} and sd > 1e-12),
  sy as (select pos, segment, len(list_filter({_BP}, lambda b: b < value)) as symbol from wd)"""
+
+
+_WORDS = _words(SEG)
 _add(
     "lower_bound",
     lower_bound,
@@ -275,6 +301,40 @@ def isax_leaf_stats(spark, d):
 _add("isax_leaf_stats", isax_leaf_stats)
 
 
+def index_build(spark, d):
+    """What the index holds; the first query of a session that needs it builds it."""
+    ix = _index(spark, d)
+    return ix.nodes.agg(F.sum("size").alias("windows"), F.countDistinct("root").alias("roots"))
+
+
+def index_postings(spark, d):
+    """The root of every window, by its leaf."""
+    ix = _index(spark, d)
+    rows = ix.postings.join(ix.nodes.select("leaf", "root"), "leaf").join(ix.held.select("channel", "block", "start"), ["channel", "block"])
+    return rows.select("start", "root", F.explode("offsets").alias("offset")).select((F.col("start") + F.col("offset")).alias("pos"), "root")
+
+
+_add("index_build", index_build, f"with {_words(16)}, r as (select pos, cast(sum((symbol // 128) * power(2, 15 - segment)) as bigint) as root from sy group by pos) select cast(count(*) as bigint) as windows, count(distinct root) as roots from r")
+_add("index_postings", index_postings, f"with {_words(16)} select pos, cast(sum((symbol // 128) * power(2, 15 - segment)) as bigint) as root from sy group by pos")
+
+
+def sax_midpoint(spark, d):
+    words = sax_word(spark, d)
+    return words.select("tid", "segment", _r(X.symbol_middle(F.col("symbol"))).alias("value"))
+
+
+_add("sax_midpoint", sax_midpoint, f"with {_PAA}, y as (select tid, segment, len(list_filter({_BP}, lambda b: b < value)) as n from p), e as (select {_BP} as b) select tid, segment, round(case when n = 0 then b[1] + (b[1] - b[128]) / 2 when n = 255 then b[255] + (b[255] - b[128]) / 2 else (b[n] + b[n + 1]) / 2 end, 6) as value from y cross join e")
+
+
+def predicted_work(spark, d):
+    """The sigmoid of predicted work over best distances so far."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", _r(X.sigmoid_basis(F.col("value") / 100, 0.5, 4.0, 1.5, 2.0)).alias("work"))
+
+
+_add("predicted_work", predicted_work, "select event_id, round(0.5 + 3.5 / (1 + exp(-1.5 * (value / 100 - 2.0))), 6) as work from events")
+
+
 def planner_decision(spark, d):
     s, q = _both(spark, d)
     return planner.decision(s, q, M, kernels.cc_to_ed(0.9, M))
@@ -389,10 +449,11 @@ _add("taper_cosine", taper_cosine, f"with {_S}, n as (select count(*) as n from
 _add("decimate", decimate, f"with {_S} select pos // 2 as pos, round(v, 6) as v from s where pos % 2 = 0")
 
 
+BAND = (1, 10, 50)
+
+
 def bandpass(spark, d):
-    s = _events(spark, d)
-    chunks = search.blocks(s, 1, 1024).select("channel", F.col("block").alias("chunk"), "v")
-    return etl.bandpass(chunks, 1, 10, 50).select("chunk", F.posexplode("v").alias("j", "v")).select("chunk", F.col("j").cast("long").alias("j"), _r("v").alias("v"))
+    return etl.bandpass(_events(spark, d), *BAND).select("pos", _r("v").alias("v"))
 
 
 def gap_fill(spark, d):
@@ -400,7 +461,8 @@ def gap_fill(spark, d):
     return etl.gap_fill(s, 1.0).groupBy("channel", "filled").agg(F.count("*").alias("samples"))
 
 
-_add("bandpass", bandpass)
+_RESPONSE = etl.zero_phase_response(*BAND)
+_add("bandpass", bandpass, f"with {_S}, g as (select unnest(range({len(_RESPONSE)})) - {len(_RESPONSE) // 2} as k, unnest([{', '.join(repr(float(x)) for x in _RESPONSE)}]) as g) select s.pos + g.k as pos, round(sum(s.v * g.g), 6) as v from s cross join g where s.pos + g.k between 0 and (select max(pos) from s) group by 1")
 _add("gap_fill", gap_fill, "with s as (select distinct event_type as channel, floor(epoch_us(ts) / 3.6e9) as h from events), g as (select channel, h, lead(h) over (partition by channel order by h) - h as gap from s) select channel, false as filled, count(*) as samples from s group by 1 union all select channel, true, cast(sum(gap - 1) as bigint) from g where gap > 1 group by 1")
 
 
@@ -414,11 +476,69 @@ _add("template_interval_join", template_interval_join, "with e as (select event_
 
 
 def template_validity(spark, d):
-    l = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("tid"), F.col("l_extendedprice").cast("double").alias("v"))
-    return etl.complete_templates(l, F.lit(3), 2).select("tid", "points", "length", "reason")
+    l = spark.read.parquet(f"{d}/lineitem.parquet")
+    samples = l.select(F.col("l_orderkey").alias("tid"), F.col("l_linenumber").cast("double").alias("ts"), F.round("l_quantity", -1).cast("double").alias("v")).groupBy("tid", "ts").agg(F.max("v").alias("v"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("tid"), F.lit(1.0).alias("start"), (1.0 + F.col("o_custkey") % 8).alias("end"), F.lit(1.0).alias("rate"))
+    return etl.complete_templates(samples, o, 2).select("tid", "points", "length", "reason")
+
+
+_add(
+    "template_validity",
+    template_validity,
+    """with q as (select o_orderkey as tid, 1.0 as a, 1.0 + o_custkey % 8 as b, (o_custkey % 8) // 2 * 2 as length from orders),
+ l as (select l_orderkey as tid, cast(l_linenumber as double) as ts, max(cast(round(l_quantity, -1) as double)) as v, row_number() over (partition by l_orderkey order by l_linenumber) as n from lineitem group by l_orderkey, l_linenumber),
+ g as (select q.tid, a, b, length, count(ts) as points, min(ts) as first, max(ts) as last, min(v) filter (where n <= length) as low, max(v) filter (where n <= length) as high from q left join l using (tid) group by all)
+ select tid, points, cast(case when points = 0 then 0 else length end as bigint) as length, case when points = 0 then 'missing' when length <= 0 then 'empty' when points < length then 'short' when first - a > 1.01 or b - last > 1.01 then 'endpoint' when last - first + 1 > points then 'gap' when low = high then 'constant' else 'ok' end as reason from g""",
+)
+
+
+def clip_ranges(spark, d):
+    c = _chunks(spark, d).select("channel", F.date_format("chunk", "yyyy-MM-dd").alias("chunk"), etl.seconds(F.col("start")).alias("start"), etl.seconds(F.col("end")).alias("end"))
+    bounds = c.agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    cut = etl.clipped(c.crossJoin(F.broadcast(bounds)), F.col("a") + (F.col("b") - F.col("a")) / 4, F.col("b") - (F.col("b") - F.col("a")) / 4)  # one row of bounds
+    return cut.select("channel", "chunk", _r("start").alias("start"), _r("end").alias("end"))
+
+
+_add(
+    "clip_ranges",
+    clip_ranges,
+    """with c as (select event_type as channel, strftime(cast(ts as date), '%Y-%m-%d') as chunk, min(epoch_us(ts)) / 1e6 as a, max(epoch_us(ts)) / 1e6 as b from events group by 1, 2),
+ m as (select min(a) + (max(b) - min(a)) / 4 as lo, max(b) - (max(b) - min(a)) / 4 as hi from c)
+ select channel, chunk, round(greatest(a, lo), 6) as start, round(least(b, hi), 6) as end from c cross join m where greatest(a, lo) < least(b, hi)""",
+)
+
+
+def catalogue_described(spark, d):
+    l = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", F.col("l_shipdate").cast("timestamp_ntz").alias("l_shipdate"), "l_linestatus", "l_linenumber")
+    out = etl.described(l, ["l_returnflag"], "l_shipdate", "l_shipdate", ["l_linestatus"], ["l_linenumber"])
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return out.select("l_returnflag", day("start"), day("end"), "entries", F.concat_ws(",", "l_linestatus").alias("statuses"), F.concat_ws(",", "l_linenumber").alias("numbers"))
+
+
+_add(
+    "catalogue_described",
+    catalogue_described,
+    """with n as (select l_returnflag, l_linenumber, count(*) as n from lineitem group by 1, 2), c as (select l_returnflag, string_agg(l_linenumber || ':' || n, ',' order by l_linenumber) as numbers from n group by 1)
+ select l_returnflag, strftime(min(l_shipdate), '%Y-%m-%d') as start, strftime(max(l_shipdate), '%Y-%m-%d') as end, count(*) as entries, array_to_string(list_sort(list(distinct l_linestatus)), ',') as statuses, any_value(numbers) as numbers from lineitem join c using (l_returnflag) group by 1""",
+)
+
+
+def waveform_metadata(spark, d):
+    s = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("channel"), F.col("value").alias("v"))
+    m = etl.waveform_metadata(s, 50, "events", (1, 10))
+    a = F.col("amplitude_stats")
+    return m.select("channel", "kind", "number_of_points", "binary_file_name", "binary_file_size_bytes", a["finite_points"].alias("finite_points"), _r(a["mean"]).alias("mean"), F.col("frequency.sampling_rate_hz").alias("rate"), _r("source.actual_duration_seconds").alias("seconds"))
+
+
+_add("waveform_metadata", waveform_metadata, "select event_type as channel, 'waveform' as kind, count(*) as number_of_points, event_type || '.len' || count(*) || '.bin' as binary_file_name, count(*) * 4 as binary_file_size_bytes, count(*) filter (where isfinite(value)) as finite_points, round(avg(value), 6) as mean, 50.0::double as rate, round(count(*) / 50.0::double, 6) as seconds from events group by 1")
+
+
+def inventory_share(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_nationkey", "c_custkey")
+    return etl.strided(c, ["c_nationkey", "c_custkey"], 2, 5)  # the split of an inventory by offset and stride
 
 
-_add("template_validity", template_validity, "select l_orderkey as tid, count(*) as points, count(*) - count(*) % 2 as length, case when count(*) < 3 then 'short' when min(l_extendedprice) = max(l_extendedprice) then 'constant' else 'ok' end as reason from lineitem group by 1")
+_add("inventory_share", inventory_share, "select c_nationkey, c_custkey from (select *, row_number() over (order by c_nationkey, c_custkey) - 1 as n from customer) where n >= 2 and (n - 2) % 5 = 0")
 
 
 # ---- evaluation ----------------------------------------------------------------------------------
@@ -455,7 +575,67 @@ def agreement_verdicts(spark, d):
     return evaluate.agreement(hits(T), hits(T + 5e-5), T, O)
 
 
-_add("agreement_verdicts", agreement_verdicts)
+_ODD = f"with recursive {_corr()}, " + ", ".join(
+    f"h{k} as (select tid, pos, corr from c where corr >= {t}), g{k} as (select tid, min(pos) as pos from h{k} group by 1 union all select g{k}.tid, (select min(h{k}.pos) from h{k} where h{k}.tid = g{k}.tid and h{k}.pos >= g{k}.pos + {O + 1}) from g{k} where g{k}.pos is not null), m{k} as (select distinct h{k}.* from h{k} join g{k} using (tid, pos))"
+    for k, t in enumerate((T, T + 5e-5))
+)
+_add(
+    "agreement_verdicts",
+    agreement_verdicts,
+    f"""{_ODD}, u as (select tid, pos, coalesce(a.corr, b.corr) as corr, a.corr is null or b.corr is null as odd from m0 a full join m1 b using (tid, pos)),
+ w as (select *, case when pos - lag(pos) over (partition by tid order by pos) <= {O} then 0 else 1 end as new from u where odd),
+ ch as (select *, sum(new) over (partition by tid order by pos) as chain from w),
+ e as (select tid, chain, min(abs(corr - {T})) as near from ch group by 1, 2), v as (select tid, max(near) as near from e group by 1)
+ select cast(u.tid as integer) as query, case when any_value(near) is null then 'same' when any_value(near) < 1e-4 then 'boundary' else 'different' end as verdict from u left join v using (tid) group by u.tid""",
+)
+
+
+def neighbour_verdicts(spark, d):
+    s, q = _both(spark, d)
+    near = lambda k, o: search.knn_search(s, q, M, k, o, "scan").select(F.col("tid").alias("query"), "k", "pos", "corr")
+    return evaluate.neighbour_agreement(near(5, 0), near(5, 1))
+
+
+_add("neighbour_verdicts", neighbour_verdicts, f"select unnest(range({len(STARTS)}))::integer as query, 'same' as verdict")
+
+
+def matched_runs(spark, d):
+    c, s = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/supplier.parquet")
+    mode = lambda k: F.when(F.col(k) % 3 == 0, "knn").otherwise("threshold").alias("mode")
+    return evaluate.matched_runs(c.select(F.col("c_custkey").alias("run_id"), mode("c_nationkey")), s.select((F.col("s_suppkey") * 2).alias("run_id"), mode("s_nationkey")))
+
+
+_add(
+    "matched_runs",
+    matched_runs,
+    """with a as (select c_custkey as run_id, case when c_nationkey % 3 = 0 then 'knn' else 'threshold' end as m from customer), b as (select s_suppkey * 2 as run_id, case when s_nationkey % 3 = 0 then 'knn' else 'threshold' end as m from supplier)
+ select run_id, coalesce(a.m, b.m) as mode, case when b.m is null then 'only_left' when a.m is null then 'only_right' when a.m <> b.m then 'other_mode' else 'matched' end as status from a full join b using (run_id)""",
+)
+
+
+def set_relations(spark, d):
+    a, b = (x.select("query", "pos") for x in _two(spark, d))
+    return evaluate.set_relations(a, b)
+
+
+_add("set_relations", set_relations, f"with {_TWO}, x as (select distinct query, pos from a), y as (select distinct query, pos from b), j as (select x.pos is not null as l, y.pos is not null as r from x full join y on x.query = y.query and x.pos = y.pos) select count(*) as in_union, count(*) filter (where l and r) as in_both, bool_and(l and r) as equal from j")
+
+
+def slowest_ranks(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return evaluate.slowest(e.select(F.col("user_id").alias("run"), F.col("value").alias("index_time"), (500 - F.col("value")).alias("query_time"))).select("run", _r("index_time").alias("index_time"), _r("query_time").alias("query_time"), "ranks")
+
+
+_add("slowest_ranks", slowest_ranks, "select user_id as run, round(max(value), 6) as index_time, round(max(500 - value), 6) as query_time, count(*) as ranks from events group by 1")
+
+
+def deduplicated_hits(spark, d):
+    s, q = _both(spark, d)
+    shards = search.threshold_search(s, q, M, T, 0, 1, "scan").unionByName(search.threshold_search(s, q, M, 0.3, 0, 1, "fft"))
+    return results.deduplicated(shards).select(F.col("tid").cast("long").alias("tid"), "pos", _r("corr").alias("corr"))
+
+
+_add("deduplicated_hits", deduplicated_hits, f"with {_corr()} select tid, pos, round(corr, 6) as corr from c where corr >= {T}")
 
 
 def answer_digest(spark, d):
@@ -480,28 +660,32 @@ def _cases(spark, d):
 
 
 def case_audit(spark, d):
-    l = spark.read.parquet(f"{d}/lineitem.parquet")
-    q = l.where("l_linenumber = 2").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 32).cast("long").alias("floats"))
-    m = l.where("l_linenumber = 1").select(F.col("l_orderkey").alias("key"), F.lit(100).cast("long").alias("points"), F.when(F.col("l_orderkey") % 9 == 0, 1).otherwise(0).alias("nan_points"))
-    return evaluate.audited(_cases(spark, d), q, m).select("key", F.concat_ws(",", "reasons").alias("reasons"), "valid")
+    read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    n, m = F.col("o_orderkey") % 7, F.col("o_custkey") % 9 * 8 + F.when(F.col("o_orderkey") % 13 == 0, 4).otherwise(0)
+    q = read("orders").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 40).alias("key"), n.alias("count"), m.alias("window"), (n * m + F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0)).alias("floats"), (F.col("o_orderkey") % 17 == 0).cast("int").alias("rest"))
+    waves = read("nation").select(F.col("n_nationkey").cast("long").alias("key"), (F.col("n_nationkey") * 5).alias("samples"))
+    told = read("part").select(F.col("p_partkey").alias("path"), F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(2).alias("version"), F.when(F.col("p_partkey") % 3 == 0, 100).otherwise(50).alias("rate"), (F.col("p_partkey") % 19 == 0).cast("int").alias("bad"))
+    other = read("supplier").select(F.col("s_suppkey").alias("key"), F.lit(2).alias("version"), F.lit(50).alias("rate"), (F.col("s_suppkey") % 8 == 0).cast("int").alias("bad"))
+    return evaluate.audited(q, waves, told, other, 16, 4).select("path", F.concat_ws(",", "reasons").alias("reasons"), "valid")
 
 
 _add(
     "case_audit",
     case_audit,
-    """with c as (select o_orderkey as key, o_custkey as samples, o_orderkey % 5 * 8 as m from orders),
- j as (select c.*, q.l_orderkey as q, p.l_orderkey as p from c left join (select l_orderkey from lineitem where l_linenumber = 2) q on q.l_orderkey = key left join (select l_orderkey from lineitem where l_linenumber = 1) p on p.l_orderkey = key),
- r as (select key, list_filter([case when q is null then 'no_queries' end, case when p is null then 'no_metadata' end, case when m <= 0 or m % 8 <> 0 then 'window' end, case when samples < m then 'short' end,
-  case when q is not null and m <> 0 and 64 % m <> 0 then 'partial_query' end, case when p is not null and samples <> 100 then 'length' end, case when p is not null and key % 9 = 0 then 'not_finite' end], lambda x: x is not null) as x from j)
- select key, array_to_string(x, ',') as reasons, len(x) = 0 as valid from r""",
+    """with q0 as (select o_orderkey as path, o_custkey % 40 as key, o_orderkey % 7 as n, o_custkey % 9 * 8 + case when o_orderkey % 13 = 0 then 4 else 0 end as m from orders),
+ q as (select *, n * m + case when path % 11 = 0 then 1 else 0 end as floats, path % 17 = 0 as rest from q0),
+ j as (select q.*, w.n_nationkey * 5 as samples, a.p_partkey as pa, b.s_suppkey as sb, a.p_partkey is not null and b.s_suppkey is not null as told from q left join nation w on w.n_nationkey = q.key left join part a on a.p_partkey = q.path left join supplier b on b.s_suppkey = q.key),
+ r as (select path, list_filter([case when n <= 0 or m <= 0 then 'nonpositive' end, case when rest then 'remainder' end, case when floats <> n * m then 'query_floats' end, case when m % 8 <> 0 then 'window_multiple' end, case when m % 16 <> 0 then 'window_segments' end, case when m // 4 <= 0 then 'merge_offset' end,
+  case when samples is null then 'no_waveform' end, case when samples < m then 'short_waveform' end, case when not told then 'no_metadata' end, case when told and pa % 5 = 0 then 'obsolete' end, case when told and pa % 3 = 0 then 'sampling_rate' end, case when told and (pa % 19 = 0 or sb % 8 = 0) then 'not_finite' end], lambda x: x is not null) as x from j)
+ select path, array_to_string(x, ',') as reasons, len(x) = 0 as valid from r""",
 )
 
 
 def size_stratified_cases(spark, d):
-    return evaluate.evenly_spaced(_cases(spark, d), 9).select("key", "samples")
+    return evaluate.evenly_spaced(_cases(spark, d), 9, least=10).select("key", "samples")
 
 
-_add("size_stratified_cases", size_stratified_cases, "with c as (select o_orderkey as key, o_custkey as samples, row_number() over (order by o_custkey, o_orderkey) - 1 as r from orders), n as (select count(*) as n from c) select key, samples from c where r in (select cast(round_even(i * (n - 1) / 8.0, 0) as bigint) from n cross join range(9) t(i))")
+_add("size_stratified_cases", size_stratified_cases, "with c as (select o_orderkey as key, o_custkey as samples, row_number() over (order by o_custkey, o_orderkey) - 1 as r from orders where o_custkey >= 10), n as (select count(*) as n from c) select key, samples from c where r in (select cast(round_even(i * (n - 1) / 8.0, 0) as bigint) from n cross join range(9) t(i))")
 
 
 def plan_batches(spark, d):
@@ -524,7 +708,8 @@ def hash_split(spark, d):
     return c.select("station", F.crc32("station").alias("crc"), (F.crc32("station") % 4).alias("share"))
 
 
-_add("hash_split", hash_split)
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c_name, ''), lambda ch: ascii(ch)::bigint)), lambda a, x: list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda i: i::bigint)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)), 4294967295::bigint)"
+_add("hash_split", hash_split, f"select c_name as station, {_CRC} as crc, {_CRC} % 4 as share from customer")
 
 
 def names(spark, d):

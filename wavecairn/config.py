@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+
 
 @dataclass
 class SearchConfig:
@@ -18,6 +20,15 @@ class SearchConfig:
     groups: int = 1
     strategy: str = "auto"
     segments: int = 16
+    leaf_size: int = 2000
+    depth: int = 8
+    index_fraction: float = 0.01
+    bound_fraction: float = 0.05
+    fft: int = 1
+    seed: int = 1
+    pad: int = 0
+    skip: int = 0
+    channel: str = "all"
     dataset_size: int = 0
     query_count: int = 0
     span: int = 1 << 16
@@ -34,6 +45,25 @@ class SearchConfig:
         return self
 
 
+@dataclass
+class Switches:
+    """What a session turns on or off: spark.wavecairn.fft, .seed, .indexFraction, .boundFraction."""
+
+    fft: bool = True
+    seed: bool = True
+    index_fraction: float = 0.01
+    bound_fraction: float = 0.05
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Switches:
+        get = lambda name, default: spark.conf.get(f"spark.wavecairn.{name}", str(default))
+        return cls(get("fft", True).lower() == "true", get("seed", True).lower() == "true", float(get("indexFraction", cls.index_fraction)), float(get("boundFraction", cls.bound_fraction)))
+
+    def apply(self, spark: SparkSession) -> None:
+        for name, value in (("fft", self.fft), ("seed", self.seed), ("indexFraction", self.index_fraction), ("boundFraction", self.bound_fraction)):
+            spark.conf.set(f"spark.wavecairn.{name}", str(value))
+
+
 def parse(arguments: list[str]) -> SearchConfig:
     parser = argparse.ArgumentParser(prog="wavecairn", description="Exact subsequence search of templates in a float32 waveform.")
     for f in fields(SearchConfig):

@@ -27,9 +27,6 @@ def cc_to_ed(corr: Column, m: int) -> Column:
 def ed_to_cc(ed: Column, m: int) -> Column:
     return 1 - ed / F.lit(2.0 * m)
 
-def squared_l2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-
 def paa(a: Column, m: int, segments: int) -> Column:
     width = m // segments
     return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: mean(F.slice(a, k * width + 1, width)))
@@ -38,6 +35,14 @@ def sax_symbol(value: Column) -> Column:
     """The number of breakpoints under a value."""
     return F.size(F.filter(F.array(*[F.lit(float(b)) for b in breakpoints()]), lambda b: b < value))
 
+def symbol_middle(symbol: Column, bits: int = 8) -> Column:
+    """The PAA value that stands for a symbol of so many bits: the middle of its interval, half the way on to the median's distance for the outer ones."""
+    cuts = [float(b) for b in breakpoints(1 << bits)]
+    last, half = len(cuts) - 1, cuts[len(cuts) // 2]
+    outer = lambda c: c + (c - half) / 2
+    middles = [outer(cuts[0]), *((x + y) / 2 for x, y in zip(cuts, cuts[1:], strict=False)), outer(cuts[last])]
+    return F.element_at(F.array(*map(F.lit, middles)), symbol.cast("int") + 1)
+
 def lb_keogh(upper: Column, lower: Column, value: Column) -> Column:
     """One sample's share of the squared distance to a warping envelope."""
     gap = F.greatest(value - upper, lower - value, F.lit(0.0))

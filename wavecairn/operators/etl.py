@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.kernels import SENTINEL
+from ..functions.expressions import packed_length
+from ..functions.kernels import SENTINEL, smooth_length
+from ..sources.series import stored, with_positions
+from .search import blocks
 
 
 def seconds(ts: Column) -> Column:
@@ -81,8 +84,9 @@ def decimate(series: DataFrame, factor: int = 2) -> DataFrame:
     return series.where(F.col("pos") % factor == 0).select("channel", (F.col("pos") / factor).cast("long").alias("pos"), "v")
 
 
-def trim(series: DataFrame, time: str, start: Column, end: Column) -> DataFrame:
-    return series.where(F.col(time).between(start, end))
+def clipped(rows: DataFrame, low: Column, high: Column, start: str = "start", end: str = "end") -> DataFrame:
+    """Ranges cut to [low, high]; those that are empty then are dropped."""
+    return rows.withColumns({start: F.greatest(F.col(start), low), end: F.least(F.col(end), high)}).where(F.col(start) < F.col(end))
 
 
 def _sections(low: float, high: float, rate: float, order: int) -> np.ndarray:
@@ -118,26 +122,59 @@ def _recursive(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return x
 
 
-def bandpass(chunks: DataFrame, low: float, high: float, rate: float, order: int = 4) -> DataFrame:
-    """Zero-phase band-pass of rows (channel, chunk, v array): forth and back over each bounded chunk."""
-    sections = _sections(low, high, rate, order)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.copy()
-            frame["v"] = [_recursive(_recursive(np.asarray(v, float), sections)[::-1], sections)[::-1].tolist() for v in frame["v"]]
-            yield frame
-
-    return chunks.select("channel", "chunk", "v").mapInPandas(run, "channel string, chunk long, v array<double>")
-
-
-def gap_fill(samples: DataFrame, step: float, seed: int = 0, scale: float = 3.0) -> DataFrame:
-    """channel, ts (seconds), v: missing steps between neighbours get normal noise of `scale` deviations; filled tells which."""
+def zero_phase_response(low: float, high: float, rate: float, order: int = 4, tail: float = 1e-9) -> np.ndarray:
+    """The symmetric impulse response of the band-pass run forth and back, up to where its rest is under `tail` of its sum."""
+    sections, n = _sections(low, high, rate, order), 256
+    while True:
+        one = _recursive(np.concatenate([[1.0], np.zeros(n - 1)]), sections)
+        both = np.correlate(one, one, "full")[n - 1 :]
+        rest = np.cumsum(np.abs(both[::-1]))[::-1]
+        small = np.flatnonzero(rest <= tail * rest[0])
+        if len(small) and small[0] < n // 2:
+            half = both[: small[0]]
+            return np.concatenate([half[:0:-1], half])
+        n *= 2
+
+
+def bandpass(series: DataFrame, low: float, high: float, rate: float, order: int = 4, span: int = 4096) -> DataFrame:
+    """channel, pos, v: zero-phase band-pass, samples beyond the ends being 0.
+
+    Blocks overlap by the length of the impulse response, so the result does not depend on them; each is one product of spectra.
+    """
+    response = zero_phase_response(low, high, rate, order)
+    reach = len(response) // 2
+    length = series.groupBy("channel").agg(F.max("pos").alias("last"))
+    held = blocks(series, 2 * reach + 1, span).join(length, "channel")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for channel, start, v, last in zip(*(batch.column(c) for c in ("channel", "start", "v", "last")), strict=True):
+                x, s, n = v.values.to_numpy(zero_copy_only=False), start.as_py(), last.as_py() + 1
+                size = smooth_length(len(x) + len(response) - 1)
+                full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(response, size), size)[reach : reach + len(x)]
+                # a block owns the samples `reach` behind its starts; the ends of the series go to the first and last block
+                first, end = (0 if s == 0 else s + reach), min(s + span + reach, n)
+                if first < end:
+                    y = full[first - s : end - s]
+                    yield pa.RecordBatch.from_pydict({"channel": pa.array([channel.as_py()] * len(y), pa.string()), "pos": pa.array(np.arange(first, end), pa.int64()), "v": y})
+
+    return held.select("channel", "start", "v", "last").mapInArrow(run, "channel string, pos long, v double")
+
+
+def gap_fill(samples: DataFrame, step: float, seed: int = 0, scale: float = 3.0, run: int = 4096) -> DataFrame:
+    """channel, ts (seconds), v: missing steps between neighbours get normal noise of `scale` deviations; filled tells which.
+
+    The noise depends on seed, channel and time only, not on partitions. A long gap is made in runs of bounded size.
+    """
     spread = samples.groupBy("channel").agg(F.stddev_pop("v").alias("__sd"))
     nxt = F.lead("ts").over(W.partitionBy("channel").orderBy("ts"))
-    holes = samples.withColumn("__gap", F.round((nxt - F.col("ts")) / step).cast("int")).where(F.col("__gap") > 1)
-    made = holes.join(spread, "channel").select("channel", "ts", "__sd", F.explode(F.sequence(F.lit(1), F.col("__gap") - 1)).alias("__k"))
-    noise = made.select("channel", (F.col("ts") + F.col("__k") * step).alias("ts"), (F.randn(seed) * scale * F.col("__sd")).alias("v"), F.lit(True).alias("filled"))
+    holes = samples.withColumn("__gap", F.round((nxt - F.col("ts")) / step).cast("long")).where(F.col("__gap") > 1)
+    runs = holes.join(spread, "channel").select("channel", "ts", "__sd", "__gap", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__gap") - 2) / run))).alias("__run"))
+    within = F.sequence(F.col("__run") * run + 1, F.least(F.col("__run") * run + run, F.col("__gap") - 1))
+    made = runs.select("channel", "ts", "__sd", F.explode(within).alias("__k")).select("channel", (F.col("ts") + F.col("__k") * step).alias("ts"), "__sd")
+    uniform = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "channel", "ts"), 11) + 0.5) / float(1 << 53)
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * np.pi * uniform(2))
+    noise = made.select("channel", "ts", (normal * scale * F.col("__sd")).alias("v"), F.lit(True).alias("filled"))
     return samples.select("channel", "ts", "v", F.lit(False).alias("filled")).unionByName(noise)
 
 
@@ -147,12 +184,76 @@ def by_interval(catalogue: DataFrame, samples: DataFrame, width: int) -> DataFra
     return spread.join(samples.withColumn("__b", F.floor(F.col("ts") / width)), "__b").where(F.col("ts").between(F.col("start"), F.col("end"))).drop("__b")
 
 
-def complete_templates(samples: DataFrame, expected: Column, multiple: int = 8) -> DataFrame:
-    """tid, points, length, reason of templates(tid, ts, v): short, non-finite and constant ones are told; length is rounded down."""
+def complete_templates(samples: DataFrame, requests: DataFrame, multiple: int = 8) -> DataFrame:
+    """tid, points, length, reason: which requests(tid, start, end, rate) samples(tid, ts, v) fill, times in seconds.
+
+    The length is the requested duration in samples, rounded down to a multiple. A template must have so many samples, begin
+    and end within one sample of what was asked for, have no gap, and be finite and not constant over its length.
+    """
     v = F.col("v").cast("double")
-    seen = samples.groupBy("tid").agg(F.count("*").alias("points"), F.count_if(F.isnan(v) | v.isNull() | (F.abs(v) == float("inf"))).alias("bad"), F.min("v").alias("low"), F.max("v").alias("high"), F.max(expected).alias("wanted"))
-    reason = F.when(F.col("points") < F.col("wanted"), "short").when(F.col("bad") > 0, "non-finite").when(F.col("low") == F.col("high"), "constant").otherwise("ok")
-    return seen.select("tid", "points", (F.col("points") - F.col("points") % multiple).alias("length"), reason.alias("reason"))
+    joined = samples.join(requests, "tid").withColumn("length", packed_length(F.rint((F.col("end") - F.col("start")) * F.col("rate")).cast("long"), multiple))
+    used = F.row_number().over(W.partitionBy("tid").orderBy("ts")) <= F.col("length")
+    own = F.when(used, v)
+    bad = used & (v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    joined = joined.select("tid", "ts", "length", "start", "end", "rate", own.alias("v"), bad.alias("bad"))
+    one = lambda c: F.max(c).alias(c)
+    seen = joined.groupBy("tid").agg(F.count("*").alias("points"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_if("bad").alias("bad"), F.min("v").alias("low"), F.max("v").alias("high"), *map(one, ("length", "start", "end", "rate")))
+    seen = requests.select("tid").join(seen, "tid", "left")
+    late = 1.01 / F.col("rate")
+    reason = (
+        F.when(F.col("points").isNull(), "missing")
+        .when(F.col("length") <= 0, "empty")
+        .when(F.col("points") < F.col("length"), "short")
+        .when((F.col("first") - F.col("start") > late) | (F.col("end") - F.col("last") > late), "endpoint")
+        .when(F.rint((F.col("last") - F.col("first")) * F.col("rate")) + 1 > F.col("points"), "gap")
+        .when(F.col("bad") > 0, "non-finite")
+        .when(F.col("low") == F.col("high"), "constant")
+        .otherwise("ok")
+    )
+    return seen.select("tid", F.coalesce("points", F.lit(0)).cast("long").alias("points"), F.coalesce("length", F.lit(0)).cast("long").alias("length"), reason.alias("reason"))
+
+
+def described(rows: DataFrame, by: list[str], start: str, end: str, sets: list[str], counts: list[str]) -> DataFrame:
+    """Time bounds, sorted sets of values and counters ("value:count") of a catalogue; the sets and counters are over few distinct values."""
+    bounds = rows.groupBy(*by).agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("entries"), *[F.array_sort(F.collect_set(c)).alias(c) for c in sets])
+    for c in counts:
+        each = rows.groupBy(*by, c).agg(F.count("*").alias("__n"))  # counted before they meet
+        told = F.transform(F.array_sort(F.collect_list(F.struct(F.col(c).alias("k"), "__n"))), lambda x: F.concat_ws(":", x["k"].cast("string"), x["__n"].cast("string")))
+        bounds = bounds.join(each.groupBy(*by).agg(told.alias(c)), by)
+    return bounds
+
+
+def waveform_metadata(series: DataFrame, rate: float, dataset: str, band: tuple[float, float], factor: int = 1) -> DataFrame:
+    """One nested row a channel: what is written beside a waveform file."""
+    stats = amplitude(series)
+    length = series.groupBy("channel").agg(F.count("*").alias("number_of_points"))
+    both = stats.join(length, "channel")
+    amplitudes = F.struct("finite_points", "nan_points", "inf_points", "min", "max", "mean")
+    frequency = F.struct(F.lit(float(rate)).alias("sampling_rate_hz"), F.lit(float(band[0])).alias("bandpass_min_hz"), F.lit(float(band[1])).alias("bandpass_max_hz"), F.lit(factor).alias("downsample_factor"))
+    n = F.col("number_of_points")
+    return both.select(
+        F.lit(dataset).alias("dataset"), F.lit("waveform").alias("kind"), F.lit(2).alias("pipeline_version"), "channel", "number_of_points", F.lit("float32").alias("dtype"),
+        F.concat("channel", F.lit(".len"), n, F.lit(".bin")).alias("binary_file_name"), (n * 4).alias("binary_file_size_bytes"), amplitudes.alias("amplitude_stats"), frequency.alias("frequency"),
+        F.struct((n / F.lit(float(rate))).alias("actual_duration_seconds")).alias("source"),
+    )
+
+
+def prepared(series: DataFrame, rate: float, low: float, high: float, factor: int = 1, share: float = 0.02) -> DataFrame:
+    """The cleaning chain of a waveform: constant and linear trends go, the ends are tapered, the band is passed, and every factor-th sample stays."""
+    out = bandpass(stored(taper(detrend_linear(detrend_constant(series)), share), "tapered"), low, high, rate)
+    return decimate(out, factor) if factor > 1 else out
+
+
+def generate(series: DataFrame, folder: str, rate: float, low: float, high: float, factor: int = 1, dataset: str = "all") -> DataFrame:
+    """Cleans all channels, writes a float32 file for each and the metadata beside them, and returns the metadata."""
+    from ..sources import raw, results
+
+    clean = stored(prepared(series, rate, low, high, factor), "prepared")
+    told = stored(waveform_metadata(clean, rate / factor, dataset, (low, high), factor), "metadata")
+    for row in told.select("channel", "binary_file_name").toLocalIterator():  # a row a channel
+        raw.write_float32(clean.where(F.col("channel") == row.channel), f"{folder}/{row.binary_file_name}")
+        results.write_metadata(told.where(F.col("channel") == row.channel), f"{folder}/metadata/{row.channel}")
+    return told
 
 
 def selected(rows: DataFrame, **wanted: list[str] | None) -> DataFrame:
@@ -169,10 +270,12 @@ def of_duration(rows: DataFrame, seconds: float = 10.0, tolerance: float = 1.0)
     return rows.where(F.abs(length - seconds) <= tolerance)
 
 
-def strided(rows: DataFrame, order: list[str], offset: int, stride: int) -> DataFrame:
-    """Every stride-th row of a sorted inventory."""
-    n = F.row_number().over(W.orderBy(*order)) - 1
-    return rows.withColumn("__n", n).where((F.col("__n") >= offset) & (F.pmod(F.col("__n") - offset, F.lit(stride)) == 0)).drop("__n")
+def strided(rows: DataFrame, order: list[str], offset: int, stride: int, most: int | None = None) -> DataFrame:
+    """Every stride-th row of a sorted inventory, of its first `most` rows if that is given."""
+    numbered = with_positions(rows, order)
+    if most is not None:
+        numbered = numbered.where(F.col("pos") < most)
+    return numbered.where((F.col("pos") >= offset) & (F.pmod(F.col("pos") - offset, F.lit(stride)) == 0)).drop("pos")
 
 
 def hashed_share(rows: DataFrame, column: str, offset: int, stride: int) -> DataFrame:

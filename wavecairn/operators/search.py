@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..config import Switches
 from ..functions import kernels
 from . import index
 from .index import Index
@@ -262,6 +263,9 @@ def knn_search(series: DataFrame | Index, templates: DataFrame, m: int, k: int,
         parts = []
         for part in slices(templates, m):
             ids, z, _ = part
+            if not Switches.of(source.sparkSession).seed:
+                parts.append(index.refined(ix, index.surviving(ix, *part, 4.0 * m), ids, z, 4.0 * m))
+                continue
             seeds = index.refined(ix, index.seeded(ix, *part, candidate_limit(wanted, o)), ids, z, 4.0 * m)
             best = _best(seeds, candidate_limit(wanted, o))
             rows = _limits(excluded(best, wanted, o) if o else best.where(F.col("k") <= k), wanted, m).collect()  # a row for each template of a slice and channel

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Row
 
+from ..config import Switches
 from ..functions import kernels
 from ..operators.search import SPAN, blocks, slices
 
-#: Shares of sampled windows under which the index and lower bounds pay; FFT must cost less than this share of a scan.
-INDEX_FRACTION, BOUND_FRACTION, FFT_SHARE = 0.01, 0.05, 0.9
+#: FFT must cost less than this share of a scan. The shares of sampled windows under which the index and lower bounds pay are session settings.
+FFT_SHARE = 0.9
 #: Windows to sample, and relative costs of a multiply-add in the scan and of a point and level in the FFT.
 SAMPLE, SCAN_COST, FFT_COST = 65_536, 1.0, 24.0
 
@@ -50,12 +51,13 @@ def decide(series: DataFrame, templates: DataFrame, m: int, bound: float | None,
                 passed += int((kernels.lower_bound(q, words, m) <= limit).sum())
                 total += len(words)
         fraction = passed / total if total else 1.0
-    if fraction is not None and fraction <= INDEX_FRACTION:
+    switches = Switches.of(series.sparkSession)
+    if fraction is not None and fraction <= switches.index_fraction:
         strategy = "index"
-    elif fraction is not None and fraction < BOUND_FRACTION:
+    elif fraction is not None and fraction < switches.bound_fraction:
         strategy = "sax"
     else:
-        strategy = "fft" if fft < FFT_SHARE * scan else "scan"
+        strategy = "fft" if switches.fft and fft < FFT_SHARE * scan else "scan"
     return {"fraction": fraction, "scan_cost": float(scan), "fft_cost": float(fft), "strategy": strategy}
 
 

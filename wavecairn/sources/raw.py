@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -85,15 +86,58 @@ def read_templates(spark: SparkSession, path: str, m: int, limit: int | None = N
     return read_blocks(spark, path, span=m, limit=None if limit is None else limit * m).select(F.col("block").cast("int").alias("tid"), "v")
 
 
-def write_float32(series: DataFrame, path: str) -> int:
-    """Writes the values of one channel in order; samples stream through the driver one partition at a time."""
-    system, inner = _open(path)
-    n = 0
-    with system.open_output_stream(inner) as f:
-        for row in series.orderBy("pos").select(F.col("v").cast("float").alias("v")).toLocalIterator():
-            f.write(np.float32(row.v).astype("<f4").tobytes())
-            n += 1
-    return n
+def _joined_parts(rows: DataFrame, path: str) -> int:
+    """Writes the bytes of rows(place, data) to part files, one a row, by the executors, and joins them in order; returns the bytes.
+
+    The driver copies bytes only, a part of bounded size at a time. The folder of parts is removed.
+    """
+    parts = path + ".parts"
+    system, inner = _open(parts)
+    system.create_dir(inner, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, folder = _open(parts)
+        for batch in batches:
+            for place, data in zip(batch.column("place").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                name = f"{folder}/{place:020d}"
+                with own.open_output_stream(name) as f:  # a task that is run again writes the same bytes
+                    f.write(data)
+                yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "size": pa.array([len(data)], pa.int64())})
+
+    written = rows.select("place", "data").mapInArrow(run, "place long, size long").orderBy("place")
+    total = 0
+    target, to = _open(path)
+    with target.open_output_stream(to) as out:
+        for row in written.toLocalIterator():
+            with system.open_input_stream(f"{inner}/{row.place:020d}") as f:
+                total += out.write(f.read())
+    system.delete_dir(inner)
+    return total
+
+
+def _packed(rows: DataFrame, place: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, v in zip(batch.column(place).to_pylist(), batch.column("v"), strict=True):
+                data = v.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+                yield pa.RecordBatch.from_pydict({"place": pa.array([k], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    return rows.select(place, "v").mapInArrow(run, "place long, data binary")
+
+
+def write_float32(series: DataFrame, path: str, span: int = 1 << 20) -> int:
+    """Writes the values of one channel, whose positions have no gaps, in order; returns their number."""
+    from ..operators.search import blocks
+
+    return _joined_parts(_packed(blocks(series, 1, span), "start"), path) // 4
+
+
+def write_templates(templates: DataFrame, path: str, m: int, many: int = 1 << 14) -> int:
+    """Packs templates(tid, v) of m samples one after the other, by tid; returns their number. Template i of the file is the one of i-th least tid."""
+    right = F.when(F.size("v") == m, F.col("v").cast("array<double>")).otherwise(F.raise_error(F.lit("a template has another length")))
+    dealt = templates.select("tid", right.alias("v")).groupBy(F.floor(F.col("tid") / many).cast("long").alias("part"))
+    flat = dealt.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("tid", "v"))), lambda x: x["v"])).alias("v"))  # `many` templates a part
+    return _joined_parts(_packed(flat, "part"), path) // (4 * m)
 
 
 def inventory(spark: SparkSession, paths: DataFrame, prefixes: str = "HH|HN|BH") -> DataFrame:
@@ -112,8 +156,6 @@ def discovered(files: DataFrame) -> DataFrame:
     """key, samples, issue for files(path, length) named <key>.len<N>.bin: wrong sizes and repeated keys are told."""
     name = F.element_at(F.split("path", "/"), -1)
     named = files.where(name.rlike(_WAVE)).select("path", "length", F.regexp_extract(name, _WAVE, 1).alias("key"), F.regexp_extract(name, _WAVE, 2).cast("long").alias("samples"))
-    from pyspark.sql import Window as W
-
     copies = F.count("*").over(W.partitionBy("key"))
     issue = F.when(F.col("length") != F.col("samples") * 4, "size").when(copies > 1, "duplicate")
     return named.select("path", "key", "samples", issue.alias("issue"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of result files.
 NEIGHBOURS = "tID int, k int, pos long, corr double"
 HITS = "Query int, Counter long, Position long, `Cross Correlation` double"
 
@@ -33,7 +34,7 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    return spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
 def write_metadata(table: DataFrame, path: str) -> None:
@@ -60,3 +61,23 @@ class Timers:
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted(self.seconds.items()), "name string, seconds double")
+
+
+def deduplicated(hits: DataFrame) -> DataFrame:
+    """One row for each channel, template and position of overlapping shards, the best if they differ."""
+    return hits.groupBy("channel", "tid", "pos").agg(F.max("corr").alias("corr"))
+
+
+class Counters:
+    """Named counts of the rows that pass a place of a plan, taken while it runs and read afterwards."""
+
+    def __init__(self):
+        self.seen: list[Observation] = []
+
+    def watch(self, df: DataFrame, **counts: Column) -> DataFrame:
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], *[F.coalesce(c, F.lit(0)).cast("long").alias(name) for name, c in counts.items()])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(name, n) for o in self.seen for name, n in o.get.items()]
+        return spark.createDataFrame(rows, "name string, count long")
