@@ -20,55 +20,60 @@ def held(i):
 
 
 class Brute:
-    """The model by dictionaries."""
+    """The model by dictionaries; a context is a tuple, the nearest token last."""
 
-    def __init__(self, rows):
-        self.one, self.two, self.context = Counter(), Counter(), Counter()
+    def __init__(self, rows, order=3):
+        self.order, self.one, self.grams, self.context = order, Counter(), [Counter() for _ in range(order - 1)], Counter()
         for i, t in rows:
             if not held(i):
                 ts = tokens(t)
                 self.one.update(ts)
-                for u, v in zip(["<begin>", *ts], ts, strict=False):
-                    self.two[u, v] += 1
-                    self.context[u] += 1
+                for h, v in self.spots(ts):
+                    for k in range(1, order):
+                        self.grams[k - 1][h[-k:], v] += 1
+                        self.context[h[-k:]] += 1
         self.n, self.v = sum(self.one.values()), len(self.one)
         types = lambda c: [list(c.values()).count(r) for r in range(1, katz.CUT + 2)]
         self.uni = katz.Unigrams(self.n, types(self.one))
-        self.d = katz.discounts(np.array(types(self.two)))
+        self.d = [katz.discounts(np.array(types(g))) for g in self.grams]
         self.after = defaultdict(list)
-        for (u, v), c in self.two.items():
-            self.after[u].append((v, c))
+        for g in self.grams:
+            for (h, v), c in g.items():
+                self.after[h].append((v, c))
         self.known = {}
 
+    def spots(self, ts):
+        marked = ["<begin>"] * (self.order - 1) + ts
+        return [(tuple(marked[k : k + self.order - 1]), v) for k, v in enumerate(ts)]
+
     @functools.cache
     def of(self, c):
         return float(self.uni.of(np.array([c]))[0])
 
-    def p1(self, v):
-        return self.of(self.one.get(v, 0))
-
-    def p(self, u, v):
-        if u not in self.context:
-            return self.p1(v)
-        keep = lambda c: (self.d[c] if c <= katz.CUT else 1) * c / self.context[u]
-        if u not in self.known:
-            freed, scale = 1 - sum(keep(c) for _, c in self.after[u]), 1
+    def p(self, h, v):
+        if not h:
+            return self.of(self.one.get(v, 0))
+        if h not in self.context:
+            return self.p(h[1:], v)
+        d = self.d[len(h) - 1]
+        keep = lambda c: (d[c] if c <= katz.CUT else 1) * c / self.context[h]
+        if h not in self.known:
+            freed, scale = 1 - sum(keep(c) for _, c in self.after[h]), 1
             if freed < 1e-9:
-                freed, scale = 1 / (self.context[u] + 1), self.context[u] / (self.context[u] + 1)
-            self.known[u] = freed / (1 - sum(self.p1(w) for w, _ in self.after[u])), scale
-        if (u, v) in self.two:
-            return keep(self.two[u, v]) * self.known[u][1]
-        return self.known[u][0] * self.p1(v)
+                freed, scale = 1 / (self.context[h] + 1), self.context[h] / (self.context[h] + 1)
+            self.known[h] = freed / (1 - sum(self.p(h[1:], w) for w, _ in self.after[h])), scale
+        c = self.grams[len(h) - 1].get((h, v), 0)
+        return keep(c) * self.known[h][1] if c else self.known[h][0] * self.p(h[1:], v)
 
 
-def agrees(df, rows):
-    b = Brute(rows)
+def agrees(df, rows, order=3):
+    b = Brute(rows, order)
     got = sorted((tuple(r) for r in df.collect()), key=str)
     want = []
     for i, t in rows:
         ts = tokens(t)
         base = sum(math.log10((b.one.get(x, 0) + 1) / (b.n + b.v + 1)) for x in ts)
-        want.append((i, held(i), len(ts), sum(x in b.one for x in ts), b.n, base, sum(math.log10(b.p(u, v)) for u, v in zip(["<begin>", *ts], ts, strict=False))))
+        want.append((i, held(i), len(ts), sum(x in b.one for x in ts), b.n, base, sum(math.log10(b.p(h, v)) for h, v in b.spots(ts))))
     want.sort(key=str)
     key = lambda r: (str(r[:5]), round(r[5], 4))
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
@@ -82,8 +87,8 @@ def test_query_against_brute_force(spark, sf_dir, monkeypatch):
     for name, value in (("BATCH", 150_000), ("ENTRIES", 12_000), ("TOKENS", 30_000)):
         monkeypatch.setattr(katz, name, value)
     agrees(op5_katz(spark, sf_dir), rows)
-    for u in ("<begin>", "the", "of", "never-seen", *list(b.context)[:10]):  # every context sums to 1
-        total = sum(b.p(u, v) for v in b.one) + b.p(u, "never-seen")
+    for h in (("<begin>",), ("the",), ("of", "the"), ("never-seen",), *list(b.context)[:10]):  # every context sums to 1
+        total = sum(b.p(h, v) for v in b.one) + b.p(h, "never-seen")
         assert math.isclose(total, 1, rel_tol=1e-9)
 
 
@@ -98,7 +103,8 @@ def test_split_contexts(spark, sf_dir, monkeypatch):
     rows += [(10_000 + k, "hot pair " * 400 + " ".join(f"hot w{k % 9}{j}" for j in range(30))) for k in range(12)]
     for name, value in (("BATCH", 20_000), ("TOKENS", 1_500)):
         monkeypatch.setattr(katz, name, value)
-    agrees(katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), rows)
+    for order in (3, 2):
+        agrees(katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order), rows, order)
     left, right = np.full(1000, 7, np.uint64), np.arange(1000, dtype=np.uint64)
     part, shares = katz.spread(left, right, np.full(1000, 10 * katz.TOKENS), 40, katz.TOKENS)
     assert set(shares.tolist()) == {11} and np.bincount(part).max() < 400

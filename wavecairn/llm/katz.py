@@ -1,28 +1,31 @@
-"""Language-model scoring: a bigram model with Katz backoff.
+"""Language-model scoring: n-grams with Katz backoff, of order 3 unless another is asked for.
 
-Training documents give counts of tokens and of pairs (a begin mark stands before the first token). Counts up
-to CUT are discounted by Good-Turing; what the discounts free in a context u goes to the tokens not seen
-after u, in proportion to their unigram probabilities:
+Training documents give counts of tokens and of their runs of 2 to `order` tokens (begin marks stand before the first).
+Counts up to CUT are discounted by Good-Turing, each order by its own counts of counts; what the discounts free in a
+context h goes to the tokens not seen after h, in proportion to what the shorter context gives them:
 
-    P(v | u) = d(c(u,v)) c(u,v) / c(u)            if the pair was seen
-             = alpha(u) P(v)                      if only u was seen
-             = P(v)                               if u was not seen
+    P(v | h) = d(c(h,v)) c(h,v) / c(h)           if the run was seen
+             = alpha(h) P(v | h without its first)  if only h was seen
+             = P(v | h without its first)          if h was not seen
 
 The unigram level is discounted in the same way; what it frees is the probability of the one unknown token.
-alpha(u) = (1 - sum of the discounted seen) / (1 - sum of P(v) over the seen), so every context sums to 1.
-A level or context in which nothing would be freed gives 1 / (count + 1) to the unseen instead.
+alpha(h) = (1 - sum of the discounted seen) / (1 - sum of the shorter context's P(v) over the seen), so every context
+sums to 1. A level or context in which nothing would be freed gives 1 / (count + 1) to the unseen instead.
 
 Data flow. Documents are read once into batches of bounded size: distinct word hashes, counts, and the token
 stream as ranks. (1) Hashes go to vocabulary parts by range, which count and number the words and answer each
-batch. (2) Batches send their tokens, as numbers with unigram counts, to context parts by the hash of the
-left token. A context that was learned more than TOKENS times is split: the hash of the right token spreads its
-pairs over as many parts as it fills. (3) Parts count pairs and write the model table; count-of-counts are summed
-over all parts, and the discounts and seen probabilities of split contexts over their parts. (4) Tokens meet the
-model table of their part, and sums by document go back. All exchanges carry compressed arrays, one
-row for each batch and part; intermediate tables are removed when they are no longer read. Nothing of the
-model is broadcast but totals, and the sums of split contexts (one row each) where Spark finds them under its
-broadcast threshold. So no part grows with a frequent word; a single frequent pair stays in one part,
-where each batch brings it as one count to learn and a run of equal values to score.
+batch. (2) Batches send their tokens, as numbers with unigram counts and the numbers before them, to parts by the hash
+of the left neighbour: all contexts that end in it meet there, whatever the order, so one exchange serves all. A left
+neighbour that was learned more than TOKENS times is split: the hash of the right token spreads its runs over as many
+parts as it fills. (3) Parts count runs and write the model table; counts of counts are summed over all parts. Order
+by order, the sums of split contexts (discount classes, probability of the seen) are added up over their parts. (4)
+Tokens meet the model table of their part and are scored recursively; sums by document go back. All exchanges of tokens
+carry compressed arrays, one row for each batch and part; intermediate tables are removed when they are no longer read,
+shuffle files when a table is written. Nothing of the model is broadcast but totals, and the sums of split contexts where
+Spark finds them under its broadcast threshold. So no part grows with a frequent word; a single frequent pair stays
+in one part, where each batch brings it as one count to learn and a run of equal values to score.
+
+Words are numbered by 32 bits, so a vocabulary of over 4 billion distinct words is an error.
 
 Null texts are empty: their one token is the end. Rows are scored one by one, so repeated rows count as
 often as they stand there; a null doc_id has the empty text's remainder. An empty table, or one without
@@ -31,12 +34,12 @@ training rows, gives an empty result, or every token the unknown one's probabili
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,8 +48,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text in a batch; entries that a vocabulary part and tokens that a context part take.
-BATCH, ENTRIES, TOKENS = 12 << 20, 1_500_000, 3_000_000
-CUT = 5
+BATCH, ENTRIES, TOKENS = 12 << 20, 1_500_000, 1_500_000
+CUT, ORDER = 5, 3
+LOW = np.uint64(0xFFFFFFFF)
 UNKNOWN, BEGIN, END = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
 
 
@@ -176,7 +180,7 @@ def _numbered(bits: int):
         distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
         counts = np.bincount(place, np.concatenate(learned), len(distinct)).astype(np.int64)
         if len(distinct) >= 1 << (32 - bits):
-            raise ValueError("a vocabulary part is too large: lower ENTRIES")
+            raise ValueError("the vocabulary has more words than 32 bits can number")
         order = np.argsort(-counts, kind="stable")
         number = np.empty(len(order), np.int64)
         number[order] = np.arange(len(order)) | p << (32 - bits)
@@ -196,9 +200,9 @@ def _numbered(bits: int):
 _ANSWER_NAMES = ["kind", "part", "batch", "numbers", "counts", "totals"]
 _ANSWER_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 _ANSWER = "kind string, part long, batch long, numbers binary, counts binary, totals array<long>"
-_SENT_NAMES = ["part", "batch", "ids", "info", "sizes", "left", "left_table", "right", "right_table", "right_counts", "train", "split"]
-_SENT = "part long, batch long, ids array<long>, info binary, sizes binary, left binary, left_table binary, right binary, right_table binary, right_counts binary, train binary, split array<long>"
-_SENT_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8, pa.list_(pa.int64())]
+_SENT_NAMES = ["part", "batch", "ids", "info", "sizes", "left", "left_table", "right", "right_table", "right_counts", "train", "split", "deep"]
+_SENT = "part long, batch long, ids array<long>, info binary, sizes binary, left binary, left_table binary, right binary, right_table binary, right_counts binary, train binary, split array<long>, deep array<binary>"
+_SENT_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8, pa.list_(pa.int64()), pa.list_(pa.binary())]
 
 
 def spread(left: np.ndarray, right: np.ndarray, learned: np.ndarray, parts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +215,7 @@ def spread(left: np.ndarray, right: np.ndarray, learned: np.ndarray, parts: int,
     return (common.mix(left | share << np.uint64(32)) % np.uint64(parts)).astype(np.int64), shares
 
 
-def _sent(parts: int, n_train: int, most: int):
+def _sent(parts: int, n_train: int, most: int, order_: int):
     """A batch's tokens, cut by the part of their left neighbour, and its documents' plain sums."""
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -227,7 +231,7 @@ def _sent(parts: int, n_train: int, most: int):
         plain = np.bincount(doc, np.log10(c + 1.0), n) + np.log10(n_train + 1.0)
         known = np.bincount(doc, c > 0, n) + (n_train > 0)
         info = np.stack([sizes + 1.0, known, plain]).tobytes()
-        rows = [(-1, row["batch"], row["ids"], info, *[None] * 8)]
+        rows = [(-1, row["batch"], row["ids"], info, *[None] * 9)]
         end = np.cumsum(sizes + 1)
         last = np.zeros(len(stream) + n, bool)
         last[end - 1] = True
@@ -241,6 +245,13 @@ def _sent(parts: int, n_train: int, most: int):
         learned = np.full(len(last), n_train, np.int64)
         learned[1:] = weight[:-1]
         learned[end - sizes - 1] = n_train
+        deep, near = [], left
+        for _ in range(order_ - 2):  # the tokens further back
+            far = np.empty(len(last), np.uint64)
+            far[1:] = near[:-1]
+            far[end - sizes - 1] = BEGIN
+            deep.append(far)
+            near = far
         owner = np.repeat(np.arange(n), sizes + 1)
         part, shares = spread(left, right, learned, parts, most)
         order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
@@ -252,118 +263,212 @@ def _sent(parts: int, n_train: int, most: int):
                 rights, first, ri = np.unique(right[at], return_index=True, return_inverse=True)
                 own_sizes = np.bincount(owner[at], minlength=n).astype(np.uint64)
                 split = np.unique(left[at][(shares[at] > 1) & (left[at] != UNKNOWN)]).tolist()
-                rows.append((q, row["batch"], None, None, squeeze(own_sizes), squeeze(li.astype(np.uint64)), squeeze(lefts), squeeze(ri.astype(np.uint64)), squeeze(rights), squeeze(weight[at][first].astype(np.uint64)), train.tobytes(), split))
+                further = [squeeze(x.astype(np.uint64)) for far in deep for x in np.unique(far[at], return_inverse=True)]
+                rows.append((q, row["batch"], None, None, squeeze(own_sizes), squeeze(li.astype(np.uint64)), squeeze(lefts), squeeze(ri.astype(np.uint64)), squeeze(rights), squeeze(weight[at][first].astype(np.uint64)), train.tobytes(), split, further))
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _SENT_KINDS, strict=True)], _SENT_NAMES)
 
     return run
 
 
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one batch's tokens in one part: pair, unigram count of the right token, document, whether it is learned from."""
+def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of one batch's tokens in one part: pair, unigram count of the right token, document, whether it is learned from, tokens further back."""
     lefts, rights, weights = unsqueeze(row["left_table"]), unsqueeze(row["right_table"]), unsqueeze(row["right_counts"], np.int64)
     li, ri, sizes = unsqueeze(row["left"], np.int64), unsqueeze(row["right"], np.int64), unsqueeze(row["sizes"], np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    return lefts[li] << np.uint64(32) | rights[ri], weights[ri], doc, np.frombuffer(row["train"], bool)[doc]
+    further = row["deep"] or []
+    deep = [unsqueeze(table)[unsqueeze(at, np.int64)] for table, at in zip(further[::2], further[1::2], strict=True)]
+    return lefts[li] << np.uint64(32) | rights[ri], weights[ri], doc, np.frombuffer(row["train"], bool)[doc], deep
 
 
-#: Of a split context in one part: pairs that occur 1..CUT times, the sum of higher counts, unigram probability of the seen.
+def runs(pair: np.ndarray, deep: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct runs by length: pairs, then (place of the shorter run, token before it) as one number; places of the pairs' first tokens, and each token's longest run."""
+    seen, first, at = np.unique(pair, return_index=True, return_inverse=True)
+    out = [seen]
+    for u in deep:
+        keys, at = np.unique(at.astype(np.uint64) << np.uint64(32) | u, return_inverse=True)
+        out.append(keys)
+    return out, first, at
+
+
+def spelled(grams: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each longest run the place of its pair, and the tokens further back."""
+    at, deep = np.arange(len(grams[-1])), []
+    for keys in grams[:0:-1]:
+        deep.append(keys[at] & LOW)
+        at = (keys[at] >> np.uint64(32)).astype(np.int64)
+    return at, deep[::-1]
+
+
+def _by_length(grams: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
+    """Counts of the runs of each length, from those of the longest."""
+    out = [counts]
+    for shorter, keys in zip(grams[-2::-1], grams[:0:-1], strict=True):
+        out.append(np.bincount((keys >> np.uint64(32)).astype(np.int64), out[-1], len(shorter)).astype(np.int64))
+    return out[::-1]
+
+
+_MODEL = "part long, grams array<binary>, counts binary, rights binary, types array<array<long>>, asked array<binary>"
+#: Of a split context in one part: runs that occur 1..CUT times, the sum of higher counts, the shorter context's probability of the seen.
 _SUMS = [f"s{k}" for k in range(CUT + 2)]
-_MODEL = "part long, pairs binary, counts binary, rights binary, types array<long>, contexts array<struct<left: long, " + ", ".join(f"{k}: double" for k in _SUMS) + ">>"
-_CONTEXTS = pa.list_(pa.struct([("left", pa.int64()), *((k, pa.float64()) for k in _SUMS)]))
+_WHOLE = "part long, id long, " + ", ".join(f"{k} double" for k in _SUMS)
 
 
-def _counted(unigrams: Unigrams):
-    """A part of the model table: pairs in order, their counts, the unigram counts of their right tokens, sums of split contexts."""
+def _counted(order: int):
+    """A part of the model table: runs in order, counts of the longest, unigram counts of the right tokens, split contexts that its tokens have."""
 
     def run(table: pa.Table) -> pa.Table:
         p = table.column("part")[0].as_py()
-        pairs, weights, times, split = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
+        none = np.zeros(0, np.uint64)
+        pairs, weights, times, deeps, split = [none], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [[none] * (order - 2)], set()
+        asked = [[none] for _ in range(order - 2)]
         for batch in table.to_batches():
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 split.update(row["split"])
-                key, weight, _, train = _pairs(row)
-                own, first, n = np.unique(key[train], return_index=True, return_counts=True)
-                pairs.append(own)
-                weights.append(weight[train][first])
-                times.append(n)
-        seen, first, at = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
-        counts = np.bincount(at, np.concatenate(times), len(seen)).astype(np.int64)
+                pair, weight, _, train, deep = _pairs(row)
+                if deep and row["split"]:
+                    own = np.isin(pair >> np.uint64(32), np.array(row["split"], np.uint64))
+                    asked[0].append(np.unique(pair[own] & ~LOW | deep[0][own]))
+                grams, first, at = runs(pair[train], [u[train] for u in deep])
+                place, further = spelled(grams)
+                pairs.append(grams[0][place])
+                weights.append(weight[train][first][place])
+                times.append(np.bincount(at, minlength=len(grams[-1])))
+                deeps.append(further)
+        grams, first, at = runs(np.concatenate(pairs), [np.concatenate(u) for u in zip(*deeps, strict=True)])
+        counts = np.bincount(at, np.concatenate(times), len(grams[-1])).astype(np.int64)
         weight = np.concatenate(weights)[first]
-        contexts, left = [], seen >> np.uint64(32)
-        for u in sorted(split):
-            lo, hi = np.searchsorted(left, [np.uint64(u), np.uint64(u + 1)])
-            c = counts[lo:hi]
-            sums = [*count_of_counts(c)[:CUT], int(c[c > CUT].sum()), float(unigrams.of(weight[lo:hi]).sum())]
-            contexts.append({"left": u} | dict(zip(_SUMS, map(float, sums), strict=True)))
+        ids = [np.array(sorted(split), np.uint64), *(np.unique(np.concatenate(x)) for x in asked)]
         return pa.table({
-            "part": pa.array([p], pa.int64()), "pairs": [squeeze(seen)], "counts": [squeeze(counts.astype(np.uint64))], "rights": [squeeze(weight.astype(np.uint64))],
-            "types": pa.array([count_of_counts(counts)], pa.list_(pa.int64())), "contexts": pa.array([contexts], _CONTEXTS),
+            "part": pa.array([p], pa.int64()), "grams": pa.array([[squeeze(g) for g in grams]], pa.list_(pa.binary())), "counts": [squeeze(counts.astype(np.uint64))], "rights": [squeeze(weight.astype(np.uint64))],
+            "types": pa.array([[count_of_counts(c) for c in _by_length(grams, counts)]], pa.list_(pa.list_(pa.int64()))), "asked": pa.array([[squeeze(i) for i in ids]], pa.list_(pa.binary())),
         })
 
     return run
 
 
-def _whole(model: DataFrame) -> DataFrame:
-    """The sums of split contexts over all their parts, at each part that holds tokens of them."""
-    held = model.select("part", F.explode("contexts").alias("c")).select("part", "c.*")
-    sums = held.groupBy("left").agg(*[F.sum(k).alias(k) for k in _SUMS])
-    return held.select("part", "left").join(sums, "left").select("part", "left", F.array(*_SUMS).alias("whole"))
+def _find(keys: np.ndarray, wanted: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Places of the wanted among sorted keys; -1 where there is none or it is not live."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(live & (keys[at] == wanted), at, -1)
 
 
 class Part:
-    """One part of the model: probabilities of its contexts, exactly normalised."""
-
-    def __init__(self, seen: np.ndarray, counts: np.ndarray, rights: np.ndarray, unigrams: Unigrams, factor: np.ndarray, split: dict[int, list[float]]):
-        self.seen, self.unigrams = seen, unigrams
-        left = seen >> np.uint64(32)
-        whole = np.array(sorted(split), np.uint64)
-        self.contexts = np.union1d(left, whole)
-        at, k = np.searchsorted(self.contexts, left), len(self.contexts)
-        own = counts * factor[np.where(counts <= CUT, counts, 0)]
-        total, kept, known = (np.bincount(at, x, k) for x in (counts, own, unigrams.of(rights)))
-        if split:
-            sums = np.array([split[int(u)] for u in whole])
-            occurring = sums[:, :CUT] * np.arange(1, CUT + 1)
-            c = np.searchsorted(self.contexts, whole)
-            total[c] = occurring.sum(1) + sums[:, CUT]
-            kept[c] = occurring @ factor[1:] + sums[:, CUT]
-            known[c] = sums[:, CUT + 1]
-        freed = 1 - kept / total
-        nothing = freed < 1e-9
-        scale = np.where(nothing, total / (total + 1), 1.0)
-        freed = np.where(nothing, 1 / (total + 1), freed)
-        self.log_pair = np.log10(own / total[at] * scale[at])
-        self.log_back = np.log10(freed / np.maximum(1 - known, unigrams.unknown))
-
-    def log_probability(self, pairs: np.ndarray, rights: np.ndarray) -> np.ndarray:
-        """Recursively: the pair, else its context's weight and the unigram, else the unigram."""
+    """One part of the model: probabilities of its contexts, exactly normalised, for as many orders as sums of split contexts are given.
+
+    A context of one token has that as its number, one of two tokens both of them (the nearer one first).
+    """
+
+    def __init__(self, grams: list[np.ndarray], counts: np.ndarray, rights: np.ndarray, unigrams: Unigrams, factors: list[np.ndarray], wholes: list[tuple[np.ndarray, np.ndarray]]):
+        self.grams, self.unigrams, self.contexts, self.log_seen, self.log_back = grams, unigrams, [], [], []
+        lower, floor, place = unigrams.of(rights), unigrams.unknown, None
+        for k, own_counts in enumerate(_by_length(grams, counts)):
+            if k:
+                parent = (grams[k] >> np.uint64(32)).astype(np.int64)
+                key, lower = place[parent].astype(np.uint64) << np.uint64(32) | grams[k] & LOW, lower[parent]
+            else:
+                key = grams[0] >> np.uint64(32)
+            if k == len(wholes):
+                # what this part knows of the contexts of the next order
+                self.open = (key, own_counts, lower)
+                break
+            ids, sums = wholes[k]
+            wanted = self._key(ids, k)
+            contexts = np.union1d(key, wanted)
+            place, n = np.searchsorted(contexts, key), len(contexts)
+            own = own_counts * factors[k][np.where(own_counts <= CUT, own_counts, 0)]
+            total, kept, known = (np.bincount(place, x, n) for x in (own_counts, own, lower))
+            if len(ids):
+                occurring = sums[:, :CUT] * np.arange(1, CUT + 1)
+                c = np.searchsorted(contexts, wanted)
+                total[c] = occurring.sum(1) + sums[:, CUT]
+                kept[c] = occurring @ factors[k][1:] + sums[:, CUT]
+                known[c] = sums[:, CUT + 1]
+            freed = 1 - kept / total
+            nothing = freed < 1e-9
+            scale = np.where(nothing, total / (total + 1), 1.0)
+            freed = np.where(nothing, 1 / (total + 1), freed)
+            if k:
+                floor = floor[(contexts >> np.uint64(32)).astype(np.int64)]
+            back = freed / np.maximum(1 - known, floor)
+            lower = own / total[place] * scale[place]
+            floor = floor * back
+            self.contexts.append(contexts)
+            self.log_seen.append(np.log10(lower))
+            self.log_back.append(np.log10(back))
+
+    def _key(self, ids: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of contexts of k + 1 tokens as they are known in this part; those of one token are the same everywhere."""
+        return ids if not k else np.searchsorted(self.contexts[0], ids >> np.uint64(32)).astype(np.uint64) << np.uint64(32) | ids & LOW
+
+    def sums(self, ids: np.ndarray) -> np.ndarray:
+        """What this part adds to the sums of these contexts of the next order."""
+        key, counts, lower = self.open
+        contexts, at = np.unique(key, return_inverse=True)
+        n = len(contexts)
+        every = [*(np.bincount(at[counts == r], minlength=n) for r in range(1, CUT + 1)), np.bincount(at, np.where(counts > CUT, counts, 0), n), np.bincount(at, lower, n)]
+        own = _find(contexts, self._key(ids, len(self.contexts)), np.ones(len(ids), bool))
+        table = np.concatenate([np.stack(every, 1), np.zeros((1, CUT + 2))])  # the last row is that of a context without runs here
+        return table[own]
+
+    def log_probability(self, pairs: np.ndarray, deep: list[np.ndarray], rights: np.ndarray) -> np.ndarray:
+        """From the shortest context on: the run if it was seen, else its context's weight, if that was seen, on top of what the shorter one gave."""
         out = np.log10(self.unigrams.of(rights))
         left = pairs >> np.uint64(32)
-        if len(self.contexts):
-            c = np.minimum(np.searchsorted(self.contexts, left), len(self.contexts) - 1)
-            out += np.where((self.contexts[c] == left) & (left != UNKNOWN), self.log_back[c], 0.0)
-        if len(self.seen):
-            at = np.minimum(np.searchsorted(self.seen, pairs), len(self.seen) - 1)
-            hit = (self.seen[at] == pairs) & (left != UNKNOWN)
-            out[hit] = self.log_pair[at[hit]]
+        known = left != UNKNOWN
+        c, g = _find(self.contexts[0], left, known), _find(self.grams[0], pairs, known)
+        for k in range(len(self.grams)):
+            if k:
+                c = _find(self.contexts[k], c.astype(np.uint64) << np.uint64(32) | deep[k - 1], c >= 0)
+                g = _find(self.grams[k], g.astype(np.uint64) << np.uint64(32) | deep[k - 1], g >= 0)
+            if len(self.log_back[k]):
+                out += np.where(c >= 0, self.log_back[k][c], 0.0)
+            if len(self.log_seen[k]):
+                out = np.where(g >= 0, self.log_seen[k][g], out)
         return out
 
 
-def _scored(unigrams: Unigrams, factor: np.ndarray):
+def _part(table: pa.Table, unigrams: Unigrams, factors: list[np.ndarray], order: int, levels: int) -> tuple[Part, list]:
+    """A part from its row of the model table and its rows of sums, for so many orders of contexts."""
+    m = table.filter(pc.is_valid(table.column("grams"))).to_pylist()
+    none = np.zeros(0, np.uint64)
+    grams, counts, rights = ([unsqueeze(g) for g in m[0]["grams"]], unsqueeze(m[0]["counts"], np.int64), unsqueeze(m[0]["rights"], np.int64)) if m else ([none] * (order - 1), *[np.zeros(0, np.int64)] * 2)
+    sums = table.filter(pc.is_valid(table.column("id")))
+    wholes = []
+    for k in range(levels):
+        own = sums.filter(pc.equal(sums.column("level"), k))
+        ids, matrix = own.column("id").to_numpy().view(np.uint64), np.stack([own.column(c).to_numpy() for c in _SUMS], 1) if own.num_rows else np.zeros((0, CUT + 2))
+        learned = matrix[:, : CUT + 1].sum(1) > 0  # a context of held-out texts only is an unseen one
+        rank = np.argsort(ids[learned])
+        wholes.append((ids[learned][rank], matrix[learned][rank]))
+    return Part(grams, counts, rights, unigrams, factors, wholes), m
+
+
+def _summed(unigrams: Unigrams, factors: list[np.ndarray], order: int, level: int):
+    """The sums of each split context of `level` + 1 tokens that a part's tokens have, as far as the part knows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, m = _part(table, unigrams, factors, order, level)
+        ids = unsqueeze(m[0]["asked"][level]) if m else np.zeros(0, np.uint64)
+        values = part.sums(ids)
+        return pa.table({"part": pa.array(np.full(len(ids), m[0]["part"] if m else 0), pa.int64()), "id": pa.array(ids.view(np.int64)), **{c: pa.array(values[:, k]) for k, c in enumerate(_SUMS)}})
+
+    return run
+
+
+def _scored(unigrams: Unigrams, factors: list[np.ndarray], order: int):
     def run(tokens: pa.Table, model: pa.Table) -> pa.Table:
         batches, sums = [], []
-        rows = model.to_pylist()
-        m = next((r for r in rows if r["pairs"] is not None), None)
-        split = {r["left"]: r["whole"] for r in rows if r["left"] is not None}
-        seen, counts, rights = (unsqueeze(m["pairs"]), unsqueeze(m["counts"], np.int64), unsqueeze(m["rights"], np.int64)) if m else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
-        part = Part(seen, counts, rights, unigrams, factor, split)
+        part, _ = _part(model, unigrams, factors, order, order - 1)
         for batch in tokens.to_batches():
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                pairs, weights, doc, _ = _pairs(row)
-                distinct, first, at = np.unique(pairs, return_index=True, return_inverse=True)
-                p = part.log_probability(distinct, weights[first])
+                pairs, weights, doc, _, deep = _pairs(row)
+                grams, first, at = runs(pairs, deep)
+                place, further = spelled(grams)
+                p = part.log_probability(grams[0][place], further, weights[first][place])
                 batches.append(row["batch"])
                 sums.append(np.bincount(doc, p[at], len(row["train"])).tobytes())
         return pa.table({"batch": pa.array(batches, pa.int64()), "sums": pa.array(sums, pa.binary())})
@@ -385,15 +490,10 @@ def _added(n_all: int, vocabulary: int):
     return run
 
 
-def _released(spark) -> None:
-    """Lets Spark remove shuffle files of jobs that are done and no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. order: 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     table = common.stored(_batches(docs, modulus, held), "batches")
     size = table.agg(F.sum("n_distinct").alias("entries"), F.sum("n_words").alias("words"), F.sum(F.size("ids")).alias("docs")).first()
     n_train = docs.where(common.crc_mod(F.col("doc_id"), modulus) != held).count()
@@ -406,20 +506,28 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         types[n_train - 1] += 1
     unigrams = Unigrams(n_all, types)
     parts = max(1, -(-((size["words"] or 0) + (size["docs"] or 0)) // TOKENS))
-    _released(spark)
     mine = answers.where("kind = 'answer'").select("batch", "part", "numbers", "counts")
-    sent = common.stored(table.groupBy("batch").cogroup(mine.groupBy("batch")).applyInArrow(_sent(parts, n_train, TOKENS), _SENT), "tokens", "part")
+    sent = common.stored(table.groupBy("batch").cogroup(mine.groupBy("batch")).applyInArrow(_sent(parts, n_train, TOKENS, order), _SENT), "tokens", "part")
     common.dropped(table)
     common.dropped(answers)
-    _released(spark)
     tokens = sent.where("part >= 0").drop("ids", "info").repartition(parts, "part")
-    model = common.stored(tokens.groupBy("part").applyInArrow(_counted(unigrams), _MODEL), "pairs", "part")
-    types = model.agg(*[F.sum(F.col("types")[k]).alias(f"t{k}") for k in range(CUT + 1)]).first()
-    factor = discounts(np.array([int(x or 0) for x in types]))
-    _released(spark)
-    known = model.select("part", "pairs", "counts", "rights").unionByName(_whole(model), allowMissingColumns=True)
-    sums = tokens.drop("split").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_scored(unigrams, factor), "batch long, sums binary")
-    info = sent.where("part = -1").select("batch", "ids", "info")
+    model = common.stored(tokens.groupBy("part").applyInArrow(_counted(order), _MODEL), "model", "part")
+    types = model.agg(*[F.sum(F.col("types")[k][r]).alias(f"t{k}{r}") for k in range(order - 1) for r in range(CUT + 1)]).first()
+    factors = [discounts(np.array([int(types[f"t{k}{r}"] or 0) for r in range(CUT + 1)])) for k in range(order - 1)]
+    spark = docs.sparkSession
+    read = model.select("part", "grams", "counts", "rights", "asked").unionByName(spark.createDataFrame([], _WHOLE + ", level int").drop("part"), allowMissingColumns=True)
+    wholes = []
+    for level in range(order - 1):
+        partial = common.stored(read.groupBy("part").applyInArrow(_summed(unigrams, factors, order, level), _WHOLE), "partial")
+        sums = partial.groupBy("id").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        wholes.append(common.stored(partial.select("part", "id").join(sums, "id").withColumn("level", F.lit(level)), "sums"))
+        common.dropped(partial)
+        read = read.unionByName(wholes[-1], allowMissingColumns=True)
+    tokens = tokens.drop("split")
+    sums = common.stored(tokens.groupBy("part").cogroup(read.groupBy("part")).applyInArrow(_scored(unigrams, factors, order), "batch long, sums binary"), "scores")
+    info = common.stored(sent.where("part = -1").select("batch", "ids", "info"), "batch_info")
+    for old in (sent, model, *wholes):
+        common.dropped(old)
     both = info.withColumn("sums", F.lit(None).cast("binary")).unionByName(sums, allowMissingColumns=True)
     out = both.groupBy("batch").applyInArrow(_added(n_all, vocabulary), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (common.crc_mod(F.col("doc_id"), modulus) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
