@@ -21,7 +21,7 @@ parts as it fills. (3) Parts count runs and write the model table; counts of cou
 by order, the sums of split contexts (discount classes, probability of the seen) are added up over their parts. (4)
 Tokens meet the model table of their part and are scored recursively; sums by document go back. All exchanges of tokens
 carry compressed arrays, one row for each batch and part; intermediate tables are removed when they are no longer read,
-shuffle files when a table is written. Nothing of the model is broadcast but totals, and the sums of split contexts where
+shuffle files when a table is written, and tokens are exchanged in WAVES of keys. Nothing of the model is broadcast but totals, and the sums of split contexts where
 Spark finds them under its broadcast threshold. So no part grows with a frequent word; a single frequent pair stays
 in one part, where each batch brings it as one count to learn and a run of equal values to score.
 
@@ -34,6 +34,7 @@ training rows, gives an empty result, or every token the unknown one's probabili
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -50,6 +51,8 @@ from . import common
 #: Bytes of text in a batch; entries that a vocabulary part and tokens that a context part take.
 BATCH, ENTRIES, TOKENS = 12 << 20, 1_500_000, 1_500_000
 CUT, ORDER = 5, 3
+#: Tokens are exchanged in so many waves, so that shuffle files hold a share of them at a time.
+WAVES = 4
 LOW = np.uint64(0xFFFFFFFF)
 UNKNOWN, BEGIN, END = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
 
@@ -490,6 +493,15 @@ def _added(n_all: int, vocabulary: int):
     return run
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def _waves(plan, name: str, by: str | None = "part") -> list[DataFrame]:
+    """The tables that plan writes for each wave of keys. plan gets a function that keeps a wave's rows of a table by a key."""
+    return [common.stored(plan(lambda t, key, k=k: t.where(F.pmod(F.hash(key), F.lit(WAVES)) == k)), name, by) for k in range(WAVES)]
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. order: 2 or 3."""
     if order not in (2, 3):
@@ -507,11 +519,14 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER)
     unigrams = Unigrams(n_all, types)
     parts = max(1, -(-((size["words"] or 0) + (size["docs"] or 0)) // TOKENS))
     mine = answers.where("kind = 'answer'").select("batch", "part", "numbers", "counts")
-    sent = common.stored(table.groupBy("batch").cogroup(mine.groupBy("batch")).applyInArrow(_sent(parts, n_train, TOKENS, order), _SENT), "tokens", "part")
+    answer = _sent(parts, n_train, TOKENS, order)
+    sent = _waves(lambda wave: wave(table, "batch").groupBy("batch").cogroup(wave(mine, "batch").groupBy("batch")).applyInArrow(answer, _SENT), "tokens")
     common.dropped(table)
     common.dropped(answers)
-    tokens = sent.where("part >= 0").drop("ids", "info").repartition(parts, "part")
-    model = common.stored(tokens.groupBy("part").applyInArrow(_counted(order), _MODEL), "model", "part")
+    share = -(-parts // WAVES)
+    tokens = _union(sent).where("part >= 0").drop("ids", "info")
+    models = _waves(lambda wave: wave(tokens, "part").repartition(share, "part").groupBy("part").applyInArrow(_counted(order), _MODEL), "model")
+    model = _union(models)
     types = model.agg(*[F.sum(F.col("types")[k][r]).alias(f"t{k}{r}") for k in range(order - 1) for r in range(CUT + 1)]).first()
     factors = [discounts(np.array([int(types[f"t{k}{r}"] or 0) for r in range(CUT + 1)])) for k in range(order - 1)]
     spark = docs.sparkSession
@@ -523,11 +538,12 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER)
         wholes.append(common.stored(partial.select("part", "id").join(sums, "id").withColumn("level", F.lit(level)), "sums"))
         common.dropped(partial)
         read = read.unionByName(wholes[-1], allowMissingColumns=True)
+    score_ = _scored(unigrams, factors, order)
     tokens = tokens.drop("split")
-    sums = common.stored(tokens.groupBy("part").cogroup(read.groupBy("part")).applyInArrow(_scored(unigrams, factors, order), "batch long, sums binary"), "scores")
-    info = common.stored(sent.where("part = -1").select("batch", "ids", "info"), "batch_info")
-    for old in (sent, model, *wholes):
+    scores = _waves(lambda wave: wave(tokens, "part").repartition(share, "part").groupBy("part").cogroup(wave(read, "part").repartition(share, "part").groupBy("part")).applyInArrow(score_, "batch long, sums binary"), "scores", None)
+    info = common.stored(_union(sent).where("part = -1").select("batch", "ids", "info"), "batch_info")
+    for old in (*sent, *models, *wholes):
         common.dropped(old)
-    both = info.withColumn("sums", F.lit(None).cast("binary")).unionByName(sums, allowMissingColumns=True)
+    both = info.withColumn("sums", F.lit(None).cast("binary")).unionByName(_union(scores), allowMissingColumns=True)
     out = both.groupBy("batch").applyInArrow(_added(n_all, vocabulary), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (common.crc_mod(F.col("doc_id"), modulus) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
