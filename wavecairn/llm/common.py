@@ -131,7 +131,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes each; a longer row stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -43,7 +43,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -283,6 +283,12 @@ def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, l
     return lefts[li] << np.uint64(32) | rights[ri], weights[ri], doc, np.frombuffer(row["train"], bool)[doc], deep
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, once each; a plain sort is faster than hashing here."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def runs(pair: np.ndarray, deep: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct runs by length: pairs, then (place of the shorter run, token before it) as one number; places of the pairs' first tokens, and each token's longest run."""
     seen, first, at = np.unique(pair, return_index=True, return_inverse=True)
@@ -310,14 +316,14 @@ def _by_length(grams: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
     return out[::-1]
 
 
-_MODEL = "part long, grams array<binary>, counts binary, rights binary, types array<array<long>>, asked array<binary>"
+_MODEL = "part long, grams array<binary>, counts binary, rights binary, types array<array<long>>, asked array<binary>, sums binary"
 #: Of a split context in one part: runs that occur 1..CUT times, the sum of higher counts, the shorter context's probability of the seen.
 _SUMS = [f"s{k}" for k in range(CUT + 2)]
 _WHOLE = "part long, id long, " + ", ".join(f"{k} double" for k in _SUMS)
 
 
-def _counted(order: int):
-    """A part of the model table: runs in order, counts of the longest, unigram counts of the right tokens, split contexts that its tokens have."""
+def _counted(unigrams: Unigrams, order: int):
+    """A part of the model table: runs in order, counts of the longest, unigram counts of the right tokens, split contexts that its tokens have, and what it adds to the sums of those of one token."""
 
     def run(table: pa.Table) -> pa.Table:
         p = table.column("part")[0].as_py()
@@ -331,7 +337,7 @@ def _counted(order: int):
                 pair, weight, _, train, deep = _pairs(row)
                 if deep and row["split"]:
                     own = np.isin(pair >> np.uint64(32), np.array(row["split"], np.uint64))
-                    asked[0].append(np.unique(pair[own] & ~LOW | deep[0][own]))
+                    asked[0].append(distinct(pair[own] & ~LOW | deep[0][own]))
                 grams, first, at = runs(pair[train], [u[train] for u in deep])
                 place, further = spelled(grams)
                 pairs.append(grams[0][place])
@@ -341,10 +347,11 @@ def _counted(order: int):
         grams, first, at = runs(np.concatenate(pairs), [np.concatenate(u) for u in zip(*deeps, strict=True)])
         counts = np.bincount(at, np.concatenate(times), len(grams[-1])).astype(np.int64)
         weight = np.concatenate(weights)[first]
-        ids = [np.array(sorted(split), np.uint64), *(np.unique(np.concatenate(x)) for x in asked)]
+        ids = [np.array(sorted(split), np.uint64), *(distinct(np.concatenate(x)) for x in asked)]
+        sums = Part(grams, counts, weight, unigrams, [], []).sums(ids[0])
         return pa.table({
             "part": pa.array([p], pa.int64()), "grams": pa.array([[squeeze(g) for g in grams]], pa.list_(pa.binary())), "counts": [squeeze(counts.astype(np.uint64))], "rights": [squeeze(weight.astype(np.uint64))],
-            "types": pa.array([[count_of_counts(c) for c in _by_length(grams, counts)]], pa.list_(pa.list_(pa.int64()))), "asked": pa.array([[squeeze(i) for i in ids]], pa.list_(pa.binary())),
+            "types": pa.array([[count_of_counts(c) for c in _by_length(grams, counts)]], pa.list_(pa.list_(pa.int64()))), "asked": pa.array([[squeeze(i) for i in ids]], pa.list_(pa.binary())), "sums": pa.array([sums.tobytes()], pa.binary()),
         })
 
     return run
@@ -379,7 +386,7 @@ class Part:
                 break
             ids, sums = wholes[k]
             wanted = self._key(ids, k)
-            contexts = np.union1d(key, wanted)
+            contexts = distinct(np.concatenate([key, wanted]))
             place, n = np.searchsorted(contexts, key), len(contexts)
             own = own_counts * factors[k][np.where(own_counts <= CUT, own_counts, 0)]
             total, kept, known = (np.bincount(place, x, n) for x in (own_counts, own, lower))
@@ -449,14 +456,24 @@ def _part(table: pa.Table, unigrams: Unigrams, factors: list[np.ndarray], order:
     return Part(grams, counts, rights, unigrams, factors, wholes), m
 
 
+def _listed(part: int, ids: np.ndarray, sums: np.ndarray) -> dict:
+    return {"part": pa.array(np.full(len(ids), part), pa.int64()), "id": pa.array(ids.view(np.int64)), **{c: pa.array(sums[:, k]) for k, c in enumerate(_SUMS)}}
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of split contexts of one token, a row each."""
+    for batch in batches:
+        for p, asked, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "asked", "sums")), strict=True):
+            yield pa.RecordBatch.from_pydict(_listed(p, unsqueeze(asked[0]), np.frombuffer(sums, float).reshape(-1, CUT + 2)))
+
+
 def _summed(unigrams: Unigrams, factors: list[np.ndarray], order: int, level: int):
     """The sums of each split context of `level` + 1 tokens that a part's tokens have, as far as the part knows."""
 
     def run(table: pa.Table) -> pa.Table:
         part, m = _part(table, unigrams, factors, order, level)
         ids = unsqueeze(m[0]["asked"][level]) if m else np.zeros(0, np.uint64)
-        values = part.sums(ids)
-        return pa.table({"part": pa.array(np.full(len(ids), m[0]["part"] if m else 0), pa.int64()), "id": pa.array(ids.view(np.int64)), **{c: pa.array(values[:, k]) for k, c in enumerate(_SUMS)}})
+        return pa.table(_listed(m[0]["part"] if m else 0, ids, part.sums(ids)))
 
     return run
 
@@ -497,9 +514,8 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, tables)
 
 
-def _waves(plan, name: str, by: str | None = "part") -> list[DataFrame]:
-    """The tables that plan writes for each wave of keys. plan gets a function that keeps a wave's rows of a table by a key."""
-    return [common.stored(plan(lambda t, key, k=k: t.where(F.pmod(F.hash(key), F.lit(WAVES)) == k)), name, by) for k in range(WAVES)]
+def _wave(key: str) -> Column:
+    return F.pmod(F.hash(key), F.lit(WAVES))
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
@@ -519,31 +535,45 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = ORDER)
     unigrams = Unigrams(n_all, types)
     parts = max(1, -(-((size["words"] or 0) + (size["docs"] or 0)) // TOKENS))
     mine = answers.where("kind = 'answer'").select("batch", "part", "numbers", "counts")
-    answer = _sent(parts, n_train, TOKENS, order)
-    sent = _waves(lambda wave: wave(table, "batch").groupBy("batch").cogroup(wave(mine, "batch").groupBy("batch")).applyInArrow(answer, _SENT), "tokens")
+    answer, waves, share = _sent(parts, n_train, TOKENS, order), range(WAVES), -(-parts // WAVES)
+    sent = []
+    for k in waves:
+        own, theirs = (t.where(_wave("batch") == k).groupBy("batch") for t in (table, mine))
+        rows = own.cogroup(theirs).applyInArrow(answer, _SENT).withColumn("wave", F.when(F.col("part") < 0, -1).otherwise(_wave("part")))
+        sent.append(common.stored(rows, "tokens", "wave"))
     common.dropped(table)
     common.dropped(answers)
-    share = -(-parts // WAVES)
-    tokens = _union(sent).where("part >= 0").drop("ids", "info")
-    models = _waves(lambda wave: wave(tokens, "part").repartition(share, "part").groupBy("part").applyInArrow(_counted(order), _MODEL), "model")
-    model = _union(models)
-    types = model.agg(*[F.sum(F.col("types")[k][r]).alias(f"t{k}{r}") for k in range(order - 1) for r in range(CUT + 1)]).first()
+
+    def by_part(rows: DataFrame):
+        return rows.repartition(share, "part").groupBy("part")
+
+    tokens = [_union([t.where(F.col("wave") == k) for t in sent]).drop("ids", "info", "wave") for k in waves]
+    models = [common.stored(by_part(t).applyInArrow(_counted(unigrams, order), _MODEL), "model") for t in tokens]
+    types = _union(models).agg(*[F.sum(F.col("types")[k][r]).alias(f"t{k}{r}") for k in range(order - 1) for r in range(CUT + 1)]).first()
     factors = [discounts(np.array([int(types[f"t{k}{r}"] or 0) for r in range(CUT + 1)])) for k in range(order - 1)]
-    spark = docs.sparkSession
-    read = model.select("part", "grams", "counts", "rights", "asked").unionByName(spark.createDataFrame([], _WHOLE + ", level int").drop("part"), allowMissingColumns=True)
+    nothing = docs.sparkSession.createDataFrame([], _WHOLE + ", level int").drop("part")
     wholes = []
+
+    def read(k: int) -> DataFrame:
+        known = models[k].select("part", "grams", "counts", "rights", "asked").unionByName(nothing, allowMissingColumns=True)
+        return functools.reduce(lambda a, b: a.unionByName(b.where(_wave("part") == k), allowMissingColumns=True), wholes, known)
+
     for level in range(order - 1):
-        partial = common.stored(read.groupBy("part").applyInArrow(_summed(unigrams, factors, order, level), _WHOLE), "partial")
-        sums = partial.groupBy("id").agg(*[F.sum(c).alias(c) for c in _SUMS])
-        wholes.append(common.stored(partial.select("part", "id").join(sums, "id").withColumn("level", F.lit(level)), "sums"))
-        common.dropped(partial)
-        read = read.unionByName(wholes[-1], allowMissingColumns=True)
-    score_ = _scored(unigrams, factors, order)
-    tokens = tokens.drop("split")
-    scores = _waves(lambda wave: wave(tokens, "part").repartition(share, "part").groupBy("part").cogroup(wave(read, "part").repartition(share, "part").groupBy("part")).applyInArrow(score_, "batch long, sums binary"), "scores", None)
-    info = common.stored(_union(sent).where("part = -1").select("batch", "ids", "info"), "batch_info")
+        if level:
+            partial = [common.stored(by_part(read(k)).applyInArrow(_summed(unigrams, factors, order, level), _WHOLE), "partial") for k in waves]
+        else:
+            partial = [common.stored(_union(models).select("part", "asked", "sums").mapInArrow(_told, _WHOLE), "partial")]
+        every = _union(partial)
+        sums = every.groupBy("id").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        wholes.append(common.stored(every.select("part", "id").join(sums, "id").withColumn("level", F.lit(level)), "sums"))
+        for old in partial:
+            common.dropped(old)
+    rate = _scored(unigrams, factors, order)
+    scores = [common.stored(by_part(t.drop("split")).cogroup(by_part(read(k))).applyInArrow(rate, "batch long, sums binary"), "scores") for k, t in zip(waves, tokens, strict=True)]
+    info = common.stored(_union(sent).where("wave = -1").select("batch", "ids", "info"), "batch_info")
     for old in (*sent, *models, *wholes):
         common.dropped(old)
-    both = info.withColumn("sums", F.lit(None).cast("binary")).unionByName(_union(scores), allowMissingColumns=True)
+    sums = _union(scores)
+    both = info.withColumn("sums", F.lit(None).cast("binary")).unionByName(sums, allowMissingColumns=True)
     out = both.groupBy("batch").applyInArrow(_added(n_all, vocabulary), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (common.crc_mod(F.col("doc_id"), modulus) == held).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
