@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+
 from wavecairn.llm import common, quality
 from wavecairn.llm.queries import op1_quality
 
@@ -29,3 +32,34 @@ def test_equal_texts_score_alike_and_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 3, 5}
     assert quality.classify(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_query_against_the_plain_method(spark):
+    """The ranking is the one minimum of its loss, the threshold the best quantile, and every row scores as worked out one by one."""
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in common.documents(spark, d).collect()}
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    learned = [i for i in truth if i in texts and truth[i] in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1]
+    x = np.array([[*(m := quality.measures(texts[i])), *(v * v for v in m)] for i in learned])
+    y = np.array([truth[i] for i in learned])
+    order = np.lexsort((*x.T[::-1], y))
+    x, y = x[order], y[order]
+    model = quality.train(common.documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+    mean, scale = x.mean(0), x.std(0)
+    z = np.clip((x - mean) / np.where(scale > 1e-9, scale, np.inf), -8, 8)
+    a, b = quality.pairs(y)
+    # the loss is convex, so a slope of nothing is its minimum
+    slope, w = np.zeros(len(mean)), model["weights"]
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        assert y[i] == 1 and y[j] == 0
+        slope += (z[i] - z[j]) / (1 + math.exp((z[i] - z[j]) @ w))
+    assert np.abs(slope / len(a) - quality.RIDGE * w).max() < 1e-6
+    strength = z @ w
+    cuts = [np.quantile(strength, q) for q in np.linspace(0, 1, 401)]
+    errors = [np.mean(strength[y == 1] < c) + np.mean(strength[y == 0] >= c) for c in cuts]
+    own = np.mean(strength[y == 1] < model["threshold"]) + np.mean(strength[y == 0] >= model["threshold"])
+    assert own <= min(errors) + 1e-9
+    for r in op1_quality(spark, d).collect():
+        v = np.array([*(m := quality.measures(texts[r.doc_id])), *(c * c for c in m)])
+        s = np.clip((v - mean) / np.where(scale > 1e-9, scale, np.inf), -8, 8) @ w - model["threshold"]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-max(-500, min(500, s)))), rel_tol=1e-6, abs_tol=1e-12)

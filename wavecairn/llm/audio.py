@@ -1,4 +1,4 @@
-"""Media columns: MPEG-1 Layer III streams built from and parsed back to bytes.
+"""Media columns: MPEG Layer III streams built (as MPEG-1) from and parsed (all versions) back to bytes.
 
 A stream is an ID3v2.3 tag, an Info/Xing frame with frame count, byte count and 100 seek points, and audio
 frames. Each audio frame is protected by the CRC-16 of its header and side information, has empty granules
@@ -6,9 +6,11 @@ frames. Each audio frame is protected by the CRC-16 of its header and side infor
 losslessly. The tag states the payload's length; the last frame takes the smallest bit rate that holds the
 rest, so streams have a variable bit rate.
 
-The parser takes nothing on trust: it skips tags, seeks the first offset at which a header is followed by
-another, steps by frame length, resynchronises after damage by looking for the next header with the same
-fixed fields, checks every CRC, and compares the seek table with the frames found.
+The parser takes nothing on trust: it reads ID3v1 and ID3v2.2 to 2.4 tags (extended headers, unsynchronisation and
+both kinds of frame sizes), seeks the first offset at which a header is followed by another, steps by frame length,
+resynchronises after damage by looking for the next header of the same version and sample rate that is followed by
+another, checks every CRC, reads Xing, Info and VBRI tables, and compares them with the frames found. The channel mode
+may change from frame to frame.
 
 Null or empty texts give one block of blanks; rows are independent, equal texts give equal values.
 """
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-# Fixed values of MPEG-1 Layer III: kbit/s by header index, Hz by header index, samples a frame, CRC-16 polynomial.
+# Fixed values of Layer III: kbit/s by header index for MPEG-1 and for the lower rates of MPEG-2 and 2.5, Hz by header
+# index, samples a frame, bytes of side information (mono, else), CRC-16 polynomial.
 BIT_RATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0)
+LOW_BIT_RATES = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0)
 SAMPLE_RATES = (44100, 48000, 32000)
-SAMPLES = 1152
+SAMPLES, LOW_SAMPLES = 1152, 576
+SIDE, LOW_SIDE = (17, 32), (9, 17)
 POLYNOMIAL = 0x8005
-SIDE = {3: 17}  # bytes of side information: mono 17, else 32
 BLOCK = 192
 
 
@@ -59,21 +63,27 @@ def header(rate_index: int, sample_index: int = 2, mode: int = 3, protected: boo
     return bytes([0xFF, 0xFA if protected else 0xFB, rate_index << 4 | sample_index << 2, mode << 6])
 
 
+#: Divisor of the sample rates by version bits: MPEG-2.5, none, MPEG-2, MPEG-1.
+_DIVISOR = (4, 0, 2, 1)
+
+
 def parse_header(four: bytes) -> dict | None:
     """The fields of a frame header, or None if these four bytes are none."""
-    if len(four) < 4 or four[0] != 0xFF or four[1] & 0xFE != 0xFA:
+    if len(four) < 4 or four[0] != 0xFF or four[1] & 0xE6 != 0xE2:
         return None
-    rate, sample = four[2] >> 4, four[2] >> 2 & 3
-    if not BIT_RATES[rate] or sample == 3:
+    divisor, rate, sample = _DIVISOR[four[1] >> 3 & 3], four[2] >> 4, four[2] >> 2 & 3
+    low = divisor > 1
+    kbps = (LOW_BIT_RATES if low else BIT_RATES)[rate]
+    if not divisor or not kbps or sample == 3:
         return None
-    mode = four[3] >> 6
+    hz, samples = SAMPLE_RATES[sample] // divisor, LOW_SAMPLES if low else SAMPLES
     return {
-        "kbps": BIT_RATES[rate],
-        "hz": SAMPLE_RATES[sample],
-        "length": 144_000 * BIT_RATES[rate] // SAMPLE_RATES[sample] + (four[2] >> 1 & 1),
-        "side": SIDE.get(mode, 32),
+        "kbps": kbps,
+        "hz": hz,
+        "samples": samples,
+        "length": samples * 125 * kbps // hz + (four[2] >> 1 & 1),
+        "side": (LOW_SIDE if low else SIDE)[four[3] >> 6 != 3],
         "protected": not four[1] & 1,
-        "mode": mode,
     }
 
 
@@ -119,59 +129,93 @@ def build(payload: bytes) -> bytes:
     return b"".join([b"ID3\x03\x00\x00", _syncsafe(len(tags)), tags, lead, bytes(288 - len(lead)), *frames])
 
 
+def _latin(raw: bytes) -> str:
+    """A tag's text by its encoding byte."""
+    kinds = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+    return raw[1:].decode(kinds.get(raw[0], "latin-1"), "replace") if raw else ""
+
+
+def _safe(raw: bytes) -> int:
+    return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
+
+
 def _tags(stream: bytes) -> tuple[int, dict[str, str]]:
     """Where the audio can begin, and the text frames of an ID3v2 tag."""
     if stream[:3] != b"ID3" or len(stream) < 10:
         return 0, {}
-    size = stream[6] << 21 | stream[7] << 14 | stream[8] << 7 | stream[9]
-    end, at, found = min(len(stream), 10 + size), 10, {}
-    while at + 10 <= end and stream[at : at + 4].strip(b"\x00"):
-        name, length = stream[at : at + 4].decode("latin-1"), struct.unpack(">I", stream[at + 4 : at + 8])[0]
-        value = stream[at + 11 : at + 10 + length].decode("latin-1")
-        if name == "TXXX":
-            name, _, value = value.partition("\x00")
-        found[name] = value
-        at += 10 + length
-    return end, found
+    version, flags = stream[3], stream[5]
+    end = min(len(stream), 10 + _safe(stream[6:10]))
+    body, found, at = stream[10:end], {}, 0
+    if flags & 0x80:
+        body = body.replace(b"\xff\x00", b"\xff")
+    if flags & 0x40 and version > 2 and len(body) >= 4:
+        at = _safe(body[:4]) if version == 4 else 4 + struct.unpack(">I", body[:4])[0]
+    id_, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at : at + id_].strip(b"\x00"):
+        name, size = body[at : at + id_].decode("latin-1"), body[at + id_ : at + id_ + id_]
+        length = _safe(size) if version == 4 else int.from_bytes(size, "big")
+        if name[0] == "T":
+            value = _latin(body[at + head : at + head + length]).rstrip("\x00")
+            if name in ("TXXX", "TXX"):
+                name, _, value = value.partition("\x00")
+            found[name] = value
+        at += head + length
+    return end + 10 * (version == 4 and flags >> 4 & 1), found
+
+
+def _table(stream: bytes, at: int, body: int) -> dict | None:
+    """The bit-rate table that a first frame may hold instead of audio: Xing or Info behind the side information, VBRI 32 bytes behind the header."""
+    mark = stream[body : body + 4]
+    if mark in (b"Xing", b"Info") and len(stream) >= body + 8:
+        flags, k = struct.unpack(">I", stream[body + 4 : body + 8])[0], body + 8
+        out = {"kind": mark.decode(), "at": at}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[name] = int.from_bytes(stream[k : k + 4], "big")
+                k += 4
+        return out | ({"seek": stream[k : k + 100]} if flags & 4 else {})
+    k = at + 36
+    if stream[k : k + 4] == b"VBRI" and len(stream) >= k + 26:
+        size, frames, entries, scale, width, step = struct.unpack(">IIHHHH", stream[k + 10 : k + 26])
+        raw = stream[k + 26 : k + 26 + entries * width]
+        lengths = [int.from_bytes(raw[j : j + width], "big") * scale for j in range(0, len(raw), width)] if width else []
+        return {"kind": "VBRI", "at": at, "frames": frames, "bytes": size, "step": step, "lengths": lengths}
+    return None
 
 
 def parse(stream: bytes) -> dict:
     """Tags, frames (offset, length, Hz, CRC verdict), the bit-rate table, and the carried bytes."""
     at, tags = _tags(stream)
     end = len(stream)
-    if stream[-128:-125] == b"TAG":
+    if stream[-128:-125] == b"TAG" and end - 128 >= at:
         end -= 128
         tags.setdefault("TIT2", stream[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1"))
-    fixed, skipped, offsets, pieces, table, bad, hz, seen = None, 0, [], [], None, 0, 0, 0
-    heads: dict[bytes, tuple] = {}
+    fixed, skipped, offsets, pieces, table, bad, seen, lost = None, 0, [], [], None, 0, 0, True
+    heads: dict[bytes, bool] = {}
     while at + 4 <= end:
         four = stream[at : at + 4]
         h = parse_header(four)
-        if h and fixed is None:  # a first header counts only if another, or the end, follows it
+        if h and fixed and (h["hz"], h["samples"]) != fixed or h and at + h["length"] > end:
+            h = None
+        if h and lost:  # after damage and at the start a header counts only if another, or the end, follows its frame
             n = parse_header(stream[at + h["length"] : at + h["length"] + 4])
-            h = h if at + h["length"] == end or n and (n["hz"], n["mode"]) == (h["hz"], h["mode"]) else None
-        if not h or fixed and (h["hz"], h["mode"]) != fixed or at + h["length"] > end:
+            h = h if at + h["length"] == end or n and (n["hz"], n["samples"]) == (h["hz"], h["samples"]) else None
+        if not h:
             nxt = stream.find(b"\xff", at + 1, end)
             skipped += (nxt if nxt >= 0 else end) - at
-            at = nxt if nxt >= 0 else end
+            at, lost = (nxt if nxt >= 0 else end), True
             continue
-        fixed, hz = (h["hz"], h["mode"]), h["hz"]
+        fixed, lost = (h["hz"], h["samples"]), False
         body = at + 4 + 2 * h["protected"] + h["side"]
         if h["protected"]:
             side = stream[at + 4 : body]
             key = four + side
             if key not in heads:
-                heads[key] = (struct.unpack(">H", side[:2])[0] == crc16(four[2:] + side[2:]),)
-            bad += not heads[key][0]
-        mark = stream[body : body + 4]
-        if not seen and mark in (b"Xing", b"Info"):
-            flags = struct.unpack(">I", stream[body + 4 : body + 8])[0]
-            values, k = {}, body + 8
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    values[name] = struct.unpack(">I", stream[k : k + 4])[0]
-                    k += 4
-            table = {"kind": mark.decode(), "at": at} | values | ({"seek": stream[k : k + 100]} if flags & 4 else {})
+                heads[key] = struct.unpack(">H", side[:2])[0] == crc16(four[2:] + side[2:])
+            bad += not heads[key]
+        found = None if seen else _table(stream, at, body)
+        if found:
+            table = found
         else:
             offsets.append(at)
             pieces.append(stream[body : at + h["length"]])
@@ -180,12 +224,13 @@ def parse(stream: bytes) -> dict:
     carried = b"".join(pieces)
     if (n := tags.get("payload_bytes", "")).isdigit():
         carried = carried[: int(n)]
-    return {"tags": tags, "hz": hz, "offsets": offsets, "skipped": skipped, "crc_errors": bad, "table": table, "payload": carried, "end": at}
+    hz, samples = fixed or (0, SAMPLES)
+    return {"tags": tags, "hz": hz, "samples": samples, "offsets": offsets, "skipped": skipped, "crc_errors": bad, "table": table, "payload": carried, "end": at}
 
 
 def seek_offset(parsed: dict, seconds: float) -> int | None:
     """The byte offset of the frame that plays at this second."""
-    k = int(seconds * parsed["hz"] // SAMPLES) if parsed["hz"] else 0
+    k = int(seconds * parsed["hz"] // parsed["samples"])
     return parsed["offsets"][k] if 0 <= k < len(parsed["offsets"]) else None
 
 
@@ -201,12 +246,15 @@ def features(parsed: dict) -> str:
     seeks = np.array(offsets, "<i8")
     if agrees and "seek" in table:
         agrees = bool(offsets) and table["seek"] == seek_points(seeks - table["at"], table["bytes"])
+    if agrees and "lengths" in table:  # a VBRI table gives the bytes of every `step` frames
+        ends = np.append(seeks, parsed["end"])
+        agrees = table["lengths"] == np.diff(ends[np.minimum(np.arange(len(table["lengths"]) + 1) * table["step"], len(offsets))]).tolist()
     return json.dumps(
         {
-            "samples": SAMPLES * len(offsets),
+            "samples": parsed["samples"] * len(offsets),
             "hz": parsed["hz"],
             "frames": len(offsets),
-            "vbr": bool(table) and table["kind"] == "Xing",
+            "vbr": bool(table) and table["kind"] != "Info",
             "table_agrees": agrees,
             "crc_errors": parsed["crc_errors"],
             "skipped": parsed["skipped"],
