@@ -26,6 +26,8 @@ from .index import Index
 
 #: Windows in a block; bytes of templates sent to all tasks at once.
 SPAN, TEMPLATE_BYTES = 4096, 32 << 20
+#: Points of all templates that the plain form takes.
+SQL_POINTS = 20_000
 STRATEGIES = ("auto", "sql", "scan", "sax", "index", "fft")
 
 
@@ -139,7 +141,12 @@ def _united(parts: list[DataFrame], spark) -> DataFrame:
 
 
 def by_sql(series: DataFrame, templates: DataFrame, m: int) -> DataFrame:
-    """All correlations by window frames and a join on shifted positions: the plain form that others are held against."""
+    """All correlations by window frames and a join on shifted positions: the plain form that others are held against.
+
+    It makes a row for each sample and template point, so more than SQL_POINTS template points are an error.
+    """
+    if (templates.agg(F.sum(F.size("v"))).first()[0] or 0) > SQL_POINTS:
+        raise ValueError("too many templates for the strategy sql")
     frame = W.partitionBy("channel").orderBy("pos").rowsBetween(0, m - 1)
     value = F.when(F.col("v") == kernels.SENTINEL, 0.0).otherwise(F.col("v").cast("double"))
     s = series.select("channel", "pos", "v", value.alias("x"))
