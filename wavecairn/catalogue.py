@@ -36,17 +36,17 @@ def _both(spark, d, m=M):
 _INDEXES: dict = {}
 
 
-def _index(spark, d):
-    """The index of the events, built once a session and read by every query that uses one."""
+def _indexed(spark, d):
+    """The index of the events and the templates cut from it, made once a session and read by every query that uses them."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
-        _INDEXES[key] = index.build(_events(spark, d), M, 16)
+        ix = index.build(_events(spark, d), M, 16)
+        _INDEXES[key] = ix, S.stored(S.cut(search.samples(ix.held, ix.span), list(STARTS), M), "templates")
     return _INDEXES[key]
 
 
-def _indexed(spark, d):
-    ix = _index(spark, d)
-    return ix, S.cut(search.samples(ix.held, ix.span), list(STARTS), M)
+def _index(spark, d):
+    return _indexed(spark, d)[0]
 
 
 def _hits(found):

@@ -82,13 +82,21 @@ def slices(templates: DataFrame, m: int) -> Iterator[Slice]:
     most = max(1, TEMPLATE_BYTES // (8 * m))
     own = ["channel"] if "channel" in templates.columns else []
     good = templates.where(F.size("v") == m).select(*own, F.col("tid").cast("int").alias("tid"), F.col("v").cast("array<double>").alias("v"))
-    size = good.count()
-    parts = 1 if size <= most else 2 * -(-size // most)
+
+    def slice_(rows: list) -> Slice:
+        got = sorted(tuple(r) for r in rows)
+        return Slice(np.array([r[-2] for r in got], np.int32), np.array([kernels.znorm(np.array(r[-1])) for r in got]), [r[0] for r in got] if own else None)
+
+    first = good.limit(most + 1).collect()  # a slice and one more at most
+    if len(first) <= most:
+        if first:
+            yield slice_(first)
+        return
+    parts = 2 * -(-good.count() // most)
     for k in range(parts):
-        part = good if parts == 1 else good.where(F.pmod(F.xxhash64(*own, "tid"), F.lit(parts)) == k)
-        got = sorted(tuple(r) for r in part.collect())
-        if got:
-            yield Slice(np.array([r[-2] for r in got], np.int32), np.array([kernels.znorm(np.array(r[-1])) for r in got]), [r[0] for r in got] if own else None)
+        rows = good.where(F.pmod(F.xxhash64(*own, "tid"), F.lit(parts)) == k).collect()
+        if rows:
+            yield slice_(rows)
 
 
 def _matched(held: DataFrame, part: Slice, bound: float, strategy: str, segments: int, span: int, top: tuple[int, int] | None = None, limits: DataFrame | None = None) -> DataFrame:
