@@ -141,10 +141,12 @@ def test_blocks_are_searched_as_they_are(fixture):
     x, q, series, templates = fixture
     held = search.blocks(series, M, 512)
     for strategy in ("scan", "sax", "fft", "index", "sql"):
-        for of in (lambda s: search.threshold_search(s, templates, M, 0.4, 16, 3, strategy, span=512), lambda s: search.knn_search(s, templates, M, 3, 20, strategy, span=512, pad=True)):  # noqa: B023
+        for of in (lambda s: search.threshold_search(s, templates, M, 0.4, 16, 3, strategy), lambda s: search.knn_search(s, templates, M, 3, 20, strategy, pad=True)):  # noqa: B023
             assert sorted(map(str, [(r.tid, r.pos) for r in of(held).collect()])) == sorted(map(str, [(r.tid, r.pos) for r in of(series).collect()]))
     long = held.where("block = 0").select("channel", "block", "start", search.F.lit(x.tolist()).alias("v"))
-    got = search.threshold_search(long, templates, M, 0.4, 0, 1, "scan", span=1 << 20).collect()
+    got = search.threshold_search(long, templates, M, 0.4, 0, 1, "scan").collect()
+    assert len(search.threshold_search(index.build(held, M), templates, M, 0.4).collect()) == len(got)
+    assert len(search.threshold_search(held, templates, M, 0.4, strategy="auto").collect()) == len(got)
     corr = oracle(x, q)
     assert all(sorted(r.pos for r in got if r.tid == k) == merged(corr[k], 0.4, 0) for k in range(len(q)))
 

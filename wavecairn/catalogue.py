@@ -41,7 +41,7 @@ def _indexed(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _INDEXES:
         ix = index.build(_events(spark, d), M, 16)
-        _INDEXES[key] = ix, S.stored(S.cut(search.samples(ix.held, ix.span), list(STARTS), M), "templates")
+        _INDEXES[key] = ix, S.stored(S.cut(search.samples(ix.held), list(STARTS), M), "templates")
     return _INDEXES[key]
 
 

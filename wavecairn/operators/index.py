@@ -217,9 +217,10 @@ def leaves(words: DataFrame, segments: int, leaf_size: int = 2000, depth: int =
 
 def build(source: DataFrame, m: int, segments: int = 16, span: int = 4096, leaf_size: int = 2000, depth: int = 8) -> Index:
     """Writes the index of a series, or of blocks of it, to the shared folder."""
-    from .search import blocks, check
+    from .search import WHOLE, blocks, check, is_blocks
 
     check(m, segments, strategy="index")
+    span = WHOLE if is_blocks(source) else span
     held = stored(blocks(source, m, span), "blocks")
     words = stored(worded(held, m, segments, span), "words")
     leaf = F.xxhash64("root", "prefix", "bits")

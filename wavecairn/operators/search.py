@@ -26,6 +26,8 @@ from .index import Index
 
 #: Windows in a block; bytes of templates sent to all tasks at once.
 SPAN, TEMPLATE_BYTES = 4096, 32 << 20
+#: The span of blocks that are given: all that they hold.
+WHOLE = 1 << 40
 #: Points of all templates that the plain form takes.
 SQL_POINTS = 20_000
 STRATEGIES = ("auto", "sql", "scan", "sax", "index", "fft")
@@ -46,17 +48,18 @@ def is_blocks(source: DataFrame) -> bool:
     return {"block", "start", "v"} <= set(source.columns)
 
 
-def samples(source: DataFrame, span: int) -> DataFrame:
+def samples(source: DataFrame) -> DataFrame:
     """channel, pos, v of a series or of blocks; the overlap of blocks counts once."""
     if not is_blocks(source):
         return source
-    return source.select("channel", "start", F.posexplode(F.slice("v", 1, span)).alias("j", "v")).select("channel", (F.col("start") + F.col("j")).alias("pos"), "v")
+    each = source.select("channel", "start", F.posexplode("v").alias("j", "v")).select("channel", (F.col("start") + F.col("j")).alias("pos"), "v")
+    return each.dropDuplicates(["channel", "pos"])
 
 
 def blocks(series: DataFrame, m: int, span: int = SPAN) -> DataFrame:
     """channel, block, start and samples: block b owns the windows that start in [b*span, (b+1)*span).
 
-    Blocks given as such stay as they are; they must own `span` starts each and overlap by m - 1 samples.
+    Blocks given as such stay as they are, whatever their length; they must overlap by m - 1 samples, and own all windows they hold.
     """
     if is_blocks(series):
         return series.select("channel", "block", "start", F.col("v").cast("array<double>").alias("v"))
@@ -200,7 +203,7 @@ def threshold_search(series: DataFrame | Index, templates: DataFrame, m: int, t:
 
         strategy = choose(source, templates, m, bound=bound, segments=segments, span=span)
     if strategy == "sql":
-        hits = by_sql(samples(source, span), templates, m).where(F.col("corr") >= t)
+        hits = by_sql(samples(source), templates, m).where(F.col("corr") >= t)
     elif strategy == "index":
         ix = ix or index.build(source, m, segments, span)
         parts = [index.refined(ix, index.surviving(ix, *p, bound), p.ids, p.z, bound) for p in slices(templates, m)]
@@ -221,7 +224,7 @@ def threshold_search(series: DataFrame | Index, templates: DataFrame, m: int, t:
 def _prepared(series: DataFrame | Index, m: int, strategy: str, segments: int, span: int):
     """The blocks or samples of a source, and what an index settles."""
     if not isinstance(series, index.Index):
-        return series, strategy, segments, span, None
+        return series, strategy, segments, WHOLE if is_blocks(series) else span, None
     if series.m != m:
         raise ValueError(f"the index holds windows of {series.m} samples")
     return series.held, "index" if strategy == "auto" else strategy, series.segments, series.span, series
@@ -272,7 +275,7 @@ def knn_search(series: DataFrame | Index, templates: DataFrame, m: int, k: int,
         strategy = choose(source, templates, m, bound=None, segments=segments, span=span, k=k)
     wanted = 2 * k - 1 if o else k
     if strategy == "sql":
-        hits = by_sql(samples(source, span), templates, m)
+        hits = by_sql(samples(source), templates, m)
     elif strategy == "index":
         ix = ix or index.build(source, m, segments, span)
         parts = []
