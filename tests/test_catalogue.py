@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from wavecairn import catalogue
+from wavecairn import catalogue, catalogue_files
+
+QUERIES, ORACLES = catalogue.QUERIES | catalogue_files.QUERIES, catalogue.ORACLES | catalogue_files.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -19,14 +21,14 @@ def con(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
-    df = catalogue.QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
     assert got
-    if name in catalogue.ORACLES:
-        out = con.execute(catalogue.ORACLES[name])
+    if name in ORACLES:
+        out = con.execute(ORACLES[name])
         names = [d[0] for d in out.description]
         assert sorted(names) == columns
         want = sorted((tuple(r[names.index(c)] for c in columns) for r in out.fetchall()), key=str)

@@ -651,7 +651,17 @@ def tolerant_matches(spark, d):
     return evaluate.tolerant_matches(a.toDF("query", "pos"), b.toDF("query", "pos"), 4)
 
 
-_add("tolerant_matches", tolerant_matches)
+_add(
+    "tolerant_matches",
+    tolerant_matches,
+    f"""with recursive {_TWO}, l as (select query, pos * 10 + pos % 7 as pos, row_number() over (partition by query order by pos) as n from a), r as (select query, pos * 10 + pos % 7 as pos from b),
+ g as (select query, 0::bigint as n, null::bigint as pos, null::bigint as other, []::bigint[] as used from (select distinct query from l)
+  union all select query, n, pos, other, case when other is null then used else list_append(used, other) end from (
+   select g.query, l.n, l.pos, list_filter(g.used, lambda x: x >= l.pos - 4) as used,
+    (select r.pos from r where r.query = g.query and r.pos between l.pos - 4 and l.pos + 4 and not list_contains(g.used, r.pos) order by abs(r.pos - l.pos), r.pos limit 1) as other
+   from g join l on l.query = g.query and l.n = g.n + 1) s)
+ select query, pos, other from g where other is not null""",
+)
 
 
 def _cases(spark, d):

@@ -77,8 +77,9 @@ def cut(series: DataFrame, starts: list[int], m: int, channel: str | None = None
 
 
 def unpacked(flat: DataFrame, m: int) -> DataFrame:
-    """Templates(tid, v) from rows (values: one flat array): template i is values[i*m:(i+1)*m]; a rest is an error."""
-    checked = flat.select(F.when(F.size("values") % m == 0, F.col("values")).otherwise(F.raise_error(F.lit("the values are no whole number of templates"))).alias("values"))
+    """Templates(tid, v) from rows (values: one flat array): template i is values[i*m:(i+1)*m]; a rest is an error. Other columns stay."""
+    rest = [c for c in flat.columns if c != "values"]
+    checked = flat.select(*rest, F.when(F.size("values") % m == 0, F.col("values")).otherwise(F.raise_error(F.lit("the values are no whole number of templates"))).alias("values"))
     ids = F.sequence(F.lit(0), (F.size("values") / m).cast("int") - 1)
-    each = checked.where(F.size("values") > 0).select("values", F.explode(ids).alias("tid"))
-    return each.select("tid", F.slice("values", F.col("tid") * m + 1, m).alias("v"))
+    each = checked.where(F.size("values") > 0).select(*rest, "values", F.explode(ids).alias("tid"))
+    return each.select(*rest, "tid", F.slice("values", F.col("tid") * m + 1, m).alias("v"))
