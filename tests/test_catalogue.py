@@ -65,6 +65,10 @@ def test_ties_in_roots(spark, ties):
     same_as_sql(spark, ties, "isax_root_histogram")
 
 
+def test_ties_in_bounds(spark, ties):
+    same_as_sql(spark, ties, "lower_bound")
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

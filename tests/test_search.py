@@ -193,6 +193,15 @@ def test_lower_bounds_hold_and_leaves_cover():
     assert kernels.smooth_length(11) == 12 and kernels.smooth_length(97) == 98
 
 
+def test_sums_do_not_depend_on_the_block():
+    x = np.random.default_rng(5).integers(0, 9, 700) / 10
+    for width in (1, 4, 8, 16, 40, 64):
+        every = kernels.sums(x, 0, width)
+        assert np.allclose(every, np.lib.stride_tricks.sliding_window_view(x, width).sum(1)) and len(kernels.sums(x[: width - 1], 3, width)) == 0
+        for start in (1, 15, 16, 333):
+            assert (kernels.sums(x[start : start + 200], start, width) == every[start : start + 201 - width]).all()
+
+
 def test_leaves_hold_all_windows(fixture):
     _, _, series, _ = fixture
     words = index.summaries(search.blocks(series, M, 512), M, 8, 512)
