@@ -4,7 +4,8 @@ The state of a prefix is the last token of its encoding. That token is the one s
 is compatible with the state of what stands before it: no merge of the pair's own merges crosses the border.
 Distinct words are visited in sorted order, which is the depth-first order of their trie, so a stack holds
 the states from the root to the current node and each shared prefix is worked out once. Walking a word's
-states back from its end gives its ids.
+states back from its end gives its ids. The tokens that end at a place come from an automaton of all tokens,
+whose node is kept beside the state. Tables and ready words outlive a task in its worker.
 
 Texts may be null or empty (no tokens) and of any length; the text of an added token becomes that token.
 Rows are independent: repeated rows give repeated results, an empty table gives an empty one.
@@ -12,7 +13,9 @@ Rows are independent: repeated rows give repeated results, an empty table gives
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +27,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-# The byte-level pre-tokeniser's pattern.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The byte-level pre-tokeniser's pattern. What begins with a quote and what with a letter or digit never compete, so the frequent comes first.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept ready by a worker, so that its memory is bounded on any input.
 MEMO = 400_000
+#: Pairs of tokens and steps of the automaton kept ready; tokens decoded at once.
+PAIRS, STEPS, TOKENS = 2_000_000, 1_000_000, 1 << 18
+
+
+def _plain() -> str:
+    """The same pattern over ASCII, by the classes that `regex` has there."""
+    among = lambda kind: "".join(re.escape(chr(c)) for c in range(128) if regex.fullmatch(kind, chr(c)))
+    letter, digit, space = among(r"\p{L}"), among(r"\p{N}"), among(r"\s")
+    return PATTERN.replace(r"\s\p{L}\p{N}", space + letter + digit).replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -57,13 +69,51 @@ class Encoder:
             a, b = self.id_of[left], self.id_of[right]
             self.rank[a, b] = r
             self.parts.setdefault(self.id_of[left + right], (a, b, r))
-        self.bytes_of = {i: s for s, i in self.id_of.items()} | {i: s.encode() for s, i in self.added.items()}
-        self.tails = {s[k:] for s in self.id_of for k in range(len(s))}
-        self.agree: dict[tuple[int, int], bool] = {}
-        self.pattern = regex.compile(PATTERN)
+        bytes_of = {i: s for s, i in self.id_of.items()} | {i: s.encode() for s, i in self.added.items()}
+        ids = range(max(bytes_of, default=-1) + 1)
+        self.size = np.array([len(bytes_of.get(i, b"")) for i in ids], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.known = np.array([i in bytes_of for i in ids], bool)
+        self.blob = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in ids), np.uint8)
+        self.four = [i.to_bytes(4, "little") for i in ids]
+        self._automaton()
+        self.agree: dict[int, bool] = {}
+        self.pattern, self.plain = regex.compile(PATTERN), re.compile(_plain())
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.memo: dict[str, bytes] = {}
 
+    def _automaton(self) -> None:
+        """Nodes are the beginnings of tokens; fits: the tokens that end there with their lengths, the longest first."""
+        trie: dict[int, int] = {}
+        own, levels = [()], []
+        for spelled, i in self.id_of.items():
+            node = 0
+            for depth, c in enumerate(spelled):
+                nxt = trie.get(node << 8 | c)
+                if nxt is None:
+                    nxt = trie[node << 8 | c] = len(own)
+                    own.append(())
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append((node, c, nxt))
+                node = nxt
+            if spelled:
+                own[node] = ((len(spelled), i),)
+        self.trie, self.steps, self.fits, self.fail = trie, dict(trie), own, [0] * len(own)
+        for level in levels:
+            for node, c, nxt in level:
+                if node:
+                    self.fail[nxt] = self._beyond(node, c)
+                    self.fits[nxt] += self.fits[self.fail[nxt]]
+
+    def _beyond(self, node: int, c: int) -> int:
+        """The node after c where `node` itself has no such child or its own is not meant."""
+        while node:
+            node = self.fail[node]
+            if (nxt := self.trie.get(node << 8 | c)) is not None:
+                return nxt
+        return 0
+
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that touch one end while `token` grows, each with the rank at which it is merged away."""
         out: list[tuple[int, float]] = [(token, float("inf"))]
@@ -75,47 +125,59 @@ class Encoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b, side by side, stay as they are. At equal ranks the leftmost merge goes first."""
-        known = self.agree.get((a, b))
-        if known is None:
-            left, right, i, j, known = self.spine(a, 1), self.spine(b, 0), 0, 0, True
-            while i < len(left) and j < len(right):
-                (x, gone_x), (y, gone_y) = left[i], right[j]
-                r = self.rank.get((x, y))
-                if r is not None and r < gone_x and r <= gone_y:
-                    known = False
-                    break
-                if gone_x <= gone_y:
-                    i += 1
-                else:
-                    j += 1
-            self.agree[a, b] = known
-        return known
+        left, right, i, j = self.spine(a, 1), self.spine(b, 0), 0, 0
+        while i < len(left) and j < len(right):
+            (x, gone_x), (y, gone_y) = left[i], right[j]
+            r = self.rank.get((x, y))
+            if r is not None and r < gone_x and r <= gone_y:
+                return False
+            if gone_x <= gone_y:
+                i += 1
+            else:
+                j += 1
+        return True
 
     def learn(self, fresh: list[str]) -> None:
         """Puts the ids of distinct words into the memo, depth first over their trie."""
-        state, last, tails, id_of, compatible, parts = [-1], b"", self.tails, self.id_of, self.compatible, self.bytes_of
-        for spelled, word in sorted((w.encode(), w) for w in fresh):
-            shared, most = 0, min(len(last), len(spelled))
-            while shared < most and last[shared] == spelled[shared]:
+        steps, fits, agree, four, memo = self.steps, self.fits, self.agree, self.four, self.memo
+        state, back, nodes, last = [-1], [0], [0], b""  # by length of the prefix: last token, where it starts, node
+        for spelled, word in sorted([(w.encode(), w) for w in fresh]):
+            shared = 0
+            for x, y in zip(last, spelled):  # noqa: B905
+                if x != y:
+                    break
                 shared += 1
-            del state[shared + 1 :]
-            for end in range(shared + 1, len(spelled) + 1):
-                fits, start = [], end - 1
-                while start >= 0 and (tail := spelled[start:end]) in tails:
-                    if (t := id_of.get(tail)) is not None:
-                        fits.append((start, t))
-                    start -= 1
-                for start, t in reversed(fits):
-                    if not start or compatible(state[start], t):
-                        state.append(t)
-                        break
+            end = shared + 1
+            del state[end:], back[end:], nodes[end:]
+            node = nodes[-1]
+            for c in spelled[shared:]:
+                key = node << 8 | c
+                node = steps.get(key)
+                if node is None:
+                    node = self._beyond(key >> 8, c)
+                    if len(steps) < STEPS:
+                        steps[key] = node
+                for length, t in fits[node]:
+                    start = end - length
+                    if start:
+                        pair = state[start] << 32 | t
+                        fit = agree.get(pair)
+                        if fit is None:
+                            fit = agree[pair] = self.compatible(state[start], t)
+                        if not fit:
+                            continue
+                    state.append(t)
+                    back.append(start)
+                    nodes.append(node)
+                    break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
-            last, ids, end = spelled, [], len(spelled)
-            while end:
-                ids.append(state[end])
-                end -= len(parts[state[end]])
-            self.memo[word] = np.array(ids[::-1], "<u4").tobytes()
+                end += 1
+            last, end = spelled, len(spelled)
+            ids = [four[state[end]]]
+            while end := back[end]:
+                ids.append(four[state[end]])
+            memo[word] = b"".join(ids[::-1])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -126,18 +188,35 @@ class Encoder:
                 pieces += [text[at : m.start()], self.added[m[0]]]
                 at = m.end()
             cut.append([*pieces, text[at:]] if at else [text])
-        found = [[p if isinstance(p, int) else self.pattern.findall(p) for p in pieces] for pieces in cut]
-        distinct = {w for pieces in found for p in pieces if not isinstance(p, int) for w in p}
+        found = [[p if isinstance(p, int) else (self.plain if p.isascii() else self.pattern).findall(p) for p in pieces] for pieces in cut]
+        distinct = set().union(*(p for pieces in found for p in pieces if not isinstance(p, int)))
         if len(self.memo) + len(distinct) > MEMO:
             self.memo.clear()
-        self.learn([w for w in distinct if w not in self.memo])
+        if len(self.agree) > PAIRS:
+            self.agree.clear()
+        self.learn(list(distinct.difference(self.memo)))
         ready = self.memo.__getitem__
-        return [b"".join(np.array([p], "<u4").tobytes() if isinstance(p, int) else b"".join(map(ready, p)) for p in pieces) for pieces in found]
+        return [b"".join([self.four[p] if isinstance(p, int) else b"".join(map(ready, p)) for p in pieces]) for pieces in found]
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The spelled bytes of the ids of each text, added tokens included; bytes that are no UTF-8 become U+FFFD."""
+        each = np.frombuffer(b"".join(ids), "<u4")
+        size, raw = self.size[each], []
+        if not self.known[each].all():
+            raise ValueError("no such token")
+        for lo in range(0, len(each), TOKENS):
+            length = size[lo : lo + TOKENS]
+            ends = np.cumsum(length)
+            raw.append(self.blob[np.repeat(self.start[each[lo : lo + TOKENS]] - ends + length, length) + np.arange(ends[-1])].tobytes())
+        whole, at = b"".join(raw), np.concatenate([[0], np.cumsum(size)])
+        cuts = at[np.cumsum([0] + [len(x) // 4 for x in ids])].tolist()
+        return [whole[a:b].decode("utf-8", "replace").encode() for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
-    def decode(self, ids: bytes) -> bytes:
-        """The spelled bytes of ids, added tokens included; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw.decode("utf-8", "replace").encode()
+@functools.lru_cache(maxsize=1)
+def _encoder(definition: str) -> Encoder:
+    """Kept by a worker for its next tasks."""
+    return Encoder(definition)
 
 
 def encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True) -> DataFrame:
@@ -151,13 +230,13 @@ def encode(docs: DataFrame, tokenizer: str, keep_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with open(SparkFiles.get(name), encoding="utf-8") as f:
-            coder = Encoder(f.read())
+            coder = _encoder(f.read())
         for batch in batches:
             _, offsets = common.utf8(batch.column("text"))
             for lo, hi in common.blocks(offsets):
                 part = batch.slice(lo, hi - lo)
                 ids = coder.encode([t or "" for t in part.column("text").to_pylist()])
-                back = [coder.decode(x) for x in ids]
+                back = coder.decode(ids)
                 columns = {
                     "doc_id": part.column("doc_id"),
                     "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
